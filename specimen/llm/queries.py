@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, tokenbin
+from . import packing, pii, quality, secrets, simhash, tokenbin
 from ._shared import table
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -26,5 +30,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_packing": op4_packing, "op5_tokens": op5_tokens, "op7_simhash": op7_simhash, "op8_quality": op8_quality}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_tokens": op5_tokens, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {}
