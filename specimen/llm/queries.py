@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, secrets, simhash, tokenbin
+from . import decontam, langid, packing, pii, quality, secrets, simhash, tokenbin, toxicity
 from ._shared import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -21,6 +29,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,5 +46,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_tokens": op5_tokens, "op7_simhash": op7_simhash, "op8_quality": op8_quality, "op10_pii": op10_pii}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_secrets": op2_secrets,
+    "op3_langid": op3_langid,
+    "op4_packing": op4_packing,
+    "op5_tokens": op5_tokens,
+    "op6_decontam": op6_decontam,
+    "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
+    "op10_pii": op10_pii,
+}
 ORACLES: dict[str, str] = {}
