@@ -17,8 +17,11 @@ from array import array
 import numpy as np
 
 #: Chunks that one Python worker remembers (about 100 MB at most); chunks beyond them are encoded again when they come back.
-MEMO_CHUNKS = 400_000
-_BESIDE = re.compile(r"\s[ \n]|[ \n]\s")
+MEMO_CHUNKS = 300_000
+_BESIDE, _ODD = re.compile(r"\s[ \n]|[ \n]\s"), re.compile(r"[^\S \n]")
+#: Byte-level BPE writes each byte as a character: printable ones as themselves, the others from U+0100 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 _MADE: dict[tuple, "Encoder"] = {}
 
 
@@ -30,6 +33,7 @@ class Encoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library, self.mode, self.limit = Tokenizer.from_file(path), mode, memo_chunks
+        self.bpe = self.library.model
         self.kind = "I" if np.dtype(dtype).itemsize == 4 else "H"
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -54,7 +58,7 @@ class Encoder(dict):
     def chunks(self, text: str) -> list[str] | None:
         if self.mode == "drop":
             return text.replace("\n", " ").split(" ")
-        if _BESIDE.search(text):
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or (_ODD.search(text) and _BESIDE.search(text)):
             return None
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
@@ -62,7 +66,12 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         cut = self.parts(chunk)
         if len(cut) == 1 and cut[0] == chunk:
-            ids = array(self.kind, self.library.encode(chunk, None, False, False).ids).tobytes()
+            word = chunk[1:] if self.mode == "lead" and chunk[:1] == " " else chunk
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250") and (self.mode == "lead" or word.lower() == word):
+                # one run of Latin letters is one word to the BPE model, which is asked without the steps before it
+                ids = array(self.kind, [t.id for t in self.bpe.tokenize(chunk.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:
+                ids = array(self.kind, self.library.encode(chunk, None, False, False).ids).tobytes()
         else:
             ids = b"".join([self[p] for p in cut])
         if len(self) < self.limit:

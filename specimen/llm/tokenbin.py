@@ -30,7 +30,7 @@ from .encode import default_path, encoder, groups
 
 END_ID, MAGIC, END_MARK = 2, b"SPTOKEN1", b"\nSPTOKEN-END\n"
 #: Bytes of ids after which a shard is closed (at a document's end).
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 _HEAD = struct.Struct("<8sIIQQQQ")
 _ALL, _TURN, _SPIN = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -215,7 +215,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """Write shards to shared scratch space, read them back: ``doc_id, start, n_tokens, ids_crc32``.
 
-    The running total over shards has one row per shard (16 MB of ids), not per document."""
+    The running total over shards has one row per shard (4 MB of ids), not per document."""
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
     write(docs, path, **options)
