@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pii, quality, secrets, simhash, tokenbin, toxicity
+from . import decontam, langid, packing, pii, quality, secrets, simhash, tokenbin, toxicity, warc
 from ._shared import table
 
 
@@ -42,6 +42,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_decontam": op6_decontam,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}

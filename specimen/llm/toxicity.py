@@ -37,16 +37,15 @@ class Model:
     """Cumulative logits with shared weights over ordered thresholds."""
 
     def __init__(self, sample: list[tuple[str, int]]) -> None:
-        seen = [features(t) for t, _ in sample]
         toxic = np.array([y for _, y in sample], bool)
         self.weights, self.cuts = {}, np.zeros(GRADES)
         if not toxic.any() or toxic.all():
             self.cuts = np.full(GRADES, np.inf if not toxic.any() else -np.inf)
             return
         count: dict[str, list[int]] = {}
-        for f, y in zip(seen, toxic, strict=True):
-            for x in f:
-                count.setdefault(x, [0, 0])[int(y)] += 1
+        for t, y in sample:
+            for x in features(t):
+                count.setdefault(x, [0, 0])[y > 0] += 1
         n = [int((~toxic).sum()), int(toxic.sum())]
         tell = {}
         for x, (a, b) in count.items():
@@ -56,12 +55,13 @@ class Model:
         chosen = sorted(sorted((x for x in tell if abs(tell[x]) >= MIN_TELL), key=lambda x: (-abs(tell[x]), x))[:FEATURES])
         at = {x: k for k, x in enumerate(chosen)}
         strong = {x for x in chosen if tell[x] > 4}
-        rate = np.array([len(f & strong) / (1 + math.sqrt(len(f))) for f in seen])
+        x, rate = np.zeros((len(sample), len(chosen)), np.float32), np.zeros(len(sample))
+        for i, (t, _) in enumerate(sample):
+            f = features(t)
+            x[i, [at[w] for w in f if w in at]] = 1
+            rate[i] = len(f & strong) / (1 + math.sqrt(len(f)))
         cut = np.quantile(rate[toxic], [k / GRADES for k in range(1, GRADES)])
         grade = np.where(toxic, 1 + (rate[:, None] > cut).sum(axis=1), 0)
-        x = np.zeros((len(sample), len(chosen)), np.float32)
-        for i, f in enumerate(seen):
-            x[i, [at[w] for w in f if w in at]] = 1
         self._fit(x, grade, chosen)
 
     def _fit(self, x: np.ndarray, grade: np.ndarray, names: list[str], rounds: int = 400, rate: float = 0.05, ridge: float = 2e-4) -> None:
