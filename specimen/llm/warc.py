@@ -37,17 +37,23 @@ _BLOCK = "<8sIIII"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
+def _line(value: str) -> str:
+    """A header value must not break its line."""
+    return "".join(c if c not in "\r\n" else "%0D" if c == "\r" else "%0A" for c in value)
+
+
 def url_key(url: str | None) -> str:
     """Reversed-host key: ``https://a.example.com:443/x?y#z`` -> ``com,example,a)/x?y``; query and path keep their case."""
     if not url or not url.strip():
         return "-"
+    url = _line(url.strip())
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(url)
         host, port = (parts.hostname or "").rstrip("."), parts.port
     except ValueError:
-        return url.strip()
+        return url
     if not host:
-        return url.strip()
+        return url
     usual = {"http": 80, "https": 443}.get(parts.scheme.lower())
     shown = ",".join(reversed(host.split("."))) + (f":{port}" if port and port != usual else "")
     return f"{shown}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
@@ -57,11 +63,6 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _line(value: str) -> str:
-    """A header value must not break its line."""
-    return "".join(c if c not in "\r\n" else "%0D" if c == "\r" else "%0A" for c in value)
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, first_url: str | None, revisit: bool, date: str = DATE) -> bytes:
     """One whole WARC record, less the two line ends after it."""
     name = uuid.uuid5(_NAMESPACE, f"{page_id}|{url}")
