@@ -22,67 +22,64 @@ _BESIDE, _ODD = re.compile(r"\s[ \n]|[ \n]\s"), re.compile(r"[^\S \n]")
 #: Byte-level BPE writes each byte as a character: printable ones as themselves, the others from U+0100 on, in order.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+_MARKS = ".,!?:;"
 _MADE: dict[tuple, "Encoder"] = {}
 
 
-class Encoder(dict):
-    """The memo itself: chunk -> ids as bytes.  ``mode``: "lead" for byte-level BPE, "drop" for BPE that drops white space.  ``dtype`` holds an id, little-endian."""
+class _Memo(dict):
+    """Chunk -> ids as bytes, where the chunk is ``lead`` and the key; ``plain``: the memo of chunks without a lead."""
+
+    def __init__(self, enc: "Encoder", lead: str, plain: "_Memo | None" = None) -> None:
+        self.lead, self.plain, self.bpe, self.library, self.kind, self.limit = lead, self if plain is None else plain, enc.library.model, enc.library, enc.kind, enc.limit
+        self.shown, self.drop = lead.translate(_BYTES), enc.mode == "drop"
+
+    def __missing__(self, x: str) -> bytes:
+        if len(x) > 1 and x[-1] in _MARKS and x[-2] < "\u0250" and x[-2].isalpha():
+            ids = self[x[:-1]] + self.plain[x[-1]]
+        elif x.isalpha() and (x.isascii() or max(x) < "\u0250") and (not self.drop or x.lower() == x):
+            # one run of Latin letters is one word to the BPE model, which is asked without the steps before it
+            ids = array(self.kind, [t.id for t in self.bpe.tokenize(self.shown + (x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES)))]).tobytes()
+        elif self.drop and x.isascii() and x.lower() != x:
+            ids = self[x.lower()]
+        elif not self.drop and "\n" in x and len(x) > 1:
+            first, *rest = x.split("\n")
+            plain = self.plain
+            ids = (self[first] if first or self.lead else b"") + b"".join([plain["\n"] + (plain[y] if y else b"") for y in rest])
+        else:
+            ids = array(self.kind, self.library.encode(self.lead + x, None, False, False).ids).tobytes()
+        if len(self) < self.limit:
+            self[x] = ids
+        return ids
+
+
+class Encoder:
+    """``mode``: "lead" for byte-level BPE, "drop" for BPE that drops white space.  ``dtype`` holds an id, little-endian."""
 
     def __init__(self, path: str, mode: str, dtype: str = "<u4", memo_chunks: int = MEMO_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library, self.mode, self.limit = Tokenizer.from_file(path), mode, memo_chunks
-        self.bpe = self.library.model
         self.kind = "I" if np.dtype(dtype).itemsize == 4 else "H"
+        self.plain = _Memo(self, "")
+        self.spaced = _Memo(self, " ", self.plain)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids as the library gives them for each text at once."""
         return [array(self.kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts(self, chunk: str) -> list[str]:
-        """A chunk cut where none of its tokens can reach across."""
-        if self.mode == "drop":
-            lines = [chunk.lower() if chunk.isascii() else chunk]
-        else:
-            first, *rest = chunk.split("\n")
-            lines = [first, *[x for line in rest for x in ("\n", line)]]
-        out = []
-        for x in lines:
-            if len(x) > 1 and x[-1] in ".,!?:;" and x[-2] < "\u0250" and x[-2].isalpha():
-                out += (x[:-1], x[-1])
-            elif x:
-                out.append(x)
-        return out
-
-    def chunks(self, text: str) -> list[str] | None:
-        if self.mode == "drop":
-            return text.replace("\n", " ").split(" ")
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or (_ODD.search(text) and _BESIDE.search(text)):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def __missing__(self, chunk: str) -> bytes:
-        cut = self.parts(chunk)
-        if len(cut) == 1 and cut[0] == chunk:
-            word = chunk[1:] if self.mode == "lead" and chunk[:1] == " " else chunk
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250") and (self.mode == "lead" or word.lower() == word):
-                # one run of Latin letters is one word to the BPE model, which is asked without the steps before it
-                ids = array(self.kind, [t.id for t in self.bpe.tokenize(chunk.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-            else:
-                ids = array(self.kind, self.library.encode(chunk, None, False, False).ids).tobytes()
-        else:
-            ids = b"".join([self[p] for p in cut])
-        if len(self) < self.limit:
-            self[chunk] = ids
-        return ids
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        get, out = self.__getitem__, []
+        plain, spaced, drop, out = self.plain.__getitem__, self.spaced.__getitem__, self.mode == "drop", []
         for t in texts:
-            cut = self.chunks(t) if t else []
-            out.append(b"".join(map(get, cut)) if cut is not None else self.whole([t])[0])
+            if not t:
+                out.append(b"")
+            elif drop:
+                out.append(b"".join(map(plain, t.replace("\n", " ").split(" "))))
+            elif "  " in t or " \n" in t or "\n " in t or "\n\n" in t or (_ODD.search(t) and _BESIDE.search(t)):
+                out += self.whole([t])
+            else:
+                first, *rest = t.split(" ")
+                out.append((plain(first) if first else b"") + b"".join(map(spaced, rest)))
         return out
 
 
