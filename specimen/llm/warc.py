@@ -92,12 +92,14 @@ def records(raw: bytes):
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> None:
-    """Write archives.  Equal payloads meet by a partially aggregated minimum and an equi-join that AQE may split."""
+    """Write archives.  Equal payloads meet by a partially aggregated minimum; only payloads that several pages have are
+    joined back, by a broadcast below Spark's size threshold and else by an equi-join that AQE may split."""
     tune(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("body"))
     rows = rows.withColumn("sha", F.sha1("body"))
-    first = rows.where(F.octet_length("body") >= min_bytes).groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("first"))
-    dealt = rows.join(first, "sha", "left").select("id", "url", "body", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"), (F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))).alias("revisit"))
+    first = rows.where(F.octet_length("body") >= min_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("first"))
+    shared = keep(first.where("n > 1").drop("n"), "shared")  # of known size, so that Spark need not shuffle pages where it is small
+    dealt = rows.join(shared, "sha", "left").select("id", "url", "body", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"), (F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))).alias("revisit"))
 
     def run(batches):
         for b in batches:
