@@ -225,12 +225,17 @@ def _zone(name: str) -> ZoneInfo:
     return ZoneInfo(name)
 
 
+@lru_cache(maxsize=1)
+def _zones() -> frozenset[str]:
+    return frozenset(available_timezones())
+
+
 def zones() -> list[str]:
-    return sorted(available_timezones())
+    return sorted(_zones())
 
 
 def is_zone(name: str) -> bool:
-    return name in available_timezones()
+    return name in _zones()
 
 
 def _offset(instant_s: int, zone: str) -> int:
