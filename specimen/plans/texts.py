@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import unicode as U
 from ..functions.jsre import WS
 from ..operators import bingo as B
-from ..operators import clean, diff, inspect, jsondoc, prose, rx
+from ..operators import clean, diff, inspect, jsondoc, markdown, prose, rx
 from ..operators import temporal as T
+from ..sources import delimited
 from .tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -338,3 +339,52 @@ def json_minified(spark, sf_dir):
 def json_findings(spark, sf_dir):
     n = jsondoc.nodes(documents_json(spark, sf_dir), "doc_id", "src").cache()
     return jsondoc.findings(n).select("subject", "id", "severity", "n")
+
+
+# -- delimited text and Markdown -----------------------------------------------------------------------------------------
+def _nations(spark, sf_dir, row: str, sep: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.expr(row).alias("row"))
+    return n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "row"))), lambda x: x["row"]), sep).alias("body"))
+
+
+def nation_csv(spark, sf_dir) -> DataFrame:
+    row = """n_nationkey || ';"' || n_name || ';x"' || CASE n_nationkey % 7 WHEN 0 THEN ';more;fields' WHEN 1 THEN '' ELSE ';ok' END"""
+    head = 'key;"the ""name""";note\n'
+    return _nations(spark, sf_dir, row, "\n").select(F.col("n_regionkey").cast("bigint").alias("id"), F.concat(F.lit(head), "body", F.lit("\n")).alias("t"))
+
+
+@register("WITH r AS (SELECT CAST(n_regionkey AS BIGINT) AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row, n_nationkey || '|' || n_name || ';x' || CASE n_nationkey % 7 WHEN 0 THEN '|more|fields' WHEN 1 THEN '' ELSE '|ok' END AS fields FROM nation) SELECT * FROM r UNION ALL SELECT DISTINCT id, 0, 'key|the \"name\"|note' FROM r")
+def csv_parse_text(spark, sf_dir):
+    return delimited.read_rows(nation_csv(spark, sf_dir), "id", "t").select("id", "row", F.array_join("fields", "|").alias("fields"))
+
+
+@register("SELECT CAST(n_regionkey AS BIGINT) AS id, ';' AS delimiter, true AS has_header, CAST(3 AS INT) AS n_columns, count(*) AS n_rows, count(*) FILTER (n_nationkey % 7 < 2) AS n_ragged, CAST(0 AS BIGINT) AS n_blank FROM nation GROUP BY 1")
+def csv_structure(spark, sf_dir):
+    return delimited.structure(delimited.read_rows(nation_csv(spark, sf_dir), "id", "t")).select("id", "delimiter", "has_header", "n_columns", "n_rows", "n_ragged", "n_blank")
+
+
+@register("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'lf' WHEN 1 THEN 'crlf' WHEN 2 THEN 'cr' ELSE 'none' END AS style FROM documents")
+def csv_line_breaks(spark, sf_dir):
+    flat = F.translate("text", "\r\n", "  ")
+    end = F.get(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\r"), F.lit("")), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", delimited.line_breaks(F.concat(flat, end)).alias("style"))
+
+
+def nation_markdown(spark, sf_dir) -> DataFrame:
+    body = _nations(spark, sf_dir, "'| ' || n_nationkey || ' | **' || n_name || '** |'", "\n")
+    return body.select("n_regionkey", F.concat(F.lit("# Region\n\n| key | name |\n|---|:--|\n"), "body", F.lit("\n\n- [x] done\n- see [home](https://x.example)\n")).alias("t"))
+
+
+@register("SELECT n_regionkey, 'Region' || chr(10) || chr(10) || string_agg('key ' || n_nationkey || chr(10) || 'name: ' || n_name, chr(10) || chr(10) ORDER BY n_nationkey) || chr(10) || chr(10) || '☑ done' || chr(10) || '• see home (https://x.example)' AS output, 'compromised' AS status FROM nation GROUP BY 1")
+def markdown_records(spark, sf_dir):
+    return nation_markdown(spark, sf_dir).select("n_regionkey", markdown.transform_column(F.col("t"), "linkedin").alias("m")).select("n_regionkey", "m.output", "m.status")
+
+
+@register("WITH w AS (SELECT n_regionkey, greatest(max(length(n_name)), 4) AS w FROM nation GROUP BY 1) SELECT n_regionkey, 'Region' || chr(10) || repeat('═', 6) || chr(10) || chr(10) || '| key | ' || rpad('name', any_value(w)::INT, ' ') || ' |' || chr(10) || '|-----|' || repeat('-', any_value(w)::INT + 2) || '|' || chr(10) || string_agg('| ' || rpad(CAST(n_nationkey AS VARCHAR), 3, ' ') || ' | ' || rpad(n_name, w::INT, ' ') || ' |', chr(10) ORDER BY n_nationkey) || chr(10) || chr(10) || '☑ done' || chr(10) || '• see home (https://x.example)' AS output FROM nation JOIN w USING (n_regionkey) GROUP BY 1")
+def markdown_tables(spark, sf_dir):
+    return nation_markdown(spark, sf_dir).select("n_regionkey", markdown.transform_column(F.col("t"), "plain").alias("m")).select("n_regionkey", "m.output")
+
+
+@register("SELECT n_regionkey, '<h1>Region</h1><table><thead><tr><th>key</th><th style=\"text-align:left\">name</th></tr></thead><tbody>' || string_agg('<tr><td>' || n_nationkey || '</td><td style=\"text-align:left\"><strong>' || n_name || '</strong></td></tr>', '' ORDER BY n_nationkey) || '</tbody></table><ul><li>☑ done</li><li>see <a href=\"https://x.example\">home</a></li></ul>' AS output FROM nation GROUP BY 1")
+def markdown_rich(spark, sf_dir):
+    return nation_markdown(spark, sf_dir).select("n_regionkey", markdown.transform_column(F.col("t"), "rich").alias("m")).select("n_regionkey", "m.output")
