@@ -152,8 +152,8 @@ class Shard:
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, mode: str = "lead", end_id: int = END_ID, width: int = 2, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode whole texts and write shards below ``path``.  ``width``: bytes of an id (2 suffices below 65,536 ids).
 
-    One range shuffle puts documents in key order (ties are split by a hash of the text, so a key with very many rows
-    does not land in one task); ids are made, indexed and written in the same stage, a shard at a time."""
+    One range shuffle puts documents in key order (ties are split by their place in the input, so a key with very many
+    rows does not land in one task); ids are made, indexed and written in the same stage, a shard at a time."""
     spark = docs.sparkSession
     tune(spark)
     file, kind = tokenizer or default_path("byte_bpe_50k.json"), f"<u{width}"
@@ -180,9 +180,10 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         if keys:
             yield shard()
 
-    cols = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    tie = F.xxhash64("t")
-    dealt = cols.repartitionByRange(partitions(spark), F.col("k").asc_nulls_first(), tie).sortWithinPartitions(F.col("k").asc_nulls_first())
+    # ties go by their place in the input, so that the sampling pass of the range shuffle reads the keys alone
+    order = [F.col("k").asc_nulls_first(), "at"]
+    cols = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"), F.monotonically_increasing_id().alias("at"))
+    dealt = cols.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     rows = dealt.mapInArrow(run, "raw binary").select(F.col("raw").cast("string").alias("value"))
     rows.write.option("lineSep", END_MARK.decode()).option("maxRecordsPerFile", 1).text(path)
 
