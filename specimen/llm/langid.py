@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ._shared import tune
 
-SAMPLE, BITS, SCALE, EPOCHS, LAMBDA = 600, 16, 60.0, 12, 1e-4
+SAMPLE, MAX_BITS, MIN_BITS, SCALE, EPOCHS, LAMBDA = 600, 16, 10, 60.0, 12, 1e-4
+#: Bytes of all weights, which are broadcast: more classifiers share fewer features each.
+MODEL_BYTES = 64 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 #: Languages (ISO 639-1) of some families; a language outside them is a family of its own.
 FAMILIES = {
@@ -42,21 +44,21 @@ def family(lang: str) -> str:
     return next((k for k, v in FAMILIES.items() if code in v.split()), f"={lang}")
 
 
-def trigrams(text: str) -> np.ndarray:
+def trigrams(text: str, bits: int = MAX_BITS) -> np.ndarray:
     """Feature numbers of all byte trigrams; digits and marks below 128 count as a space."""
     raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
     raw = _TABLE[raw].astype(np.uint32)
     code = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
-    return (code * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+    return (code * np.uint32(2654435761)) >> np.uint32(32 - bits)
 
 
 _TABLE = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, bits: int, seed: int = 0) -> tuple[np.ndarray, float]:
     """Averaged Pegasos on sparse rows ``(features, values)``; both signs weigh the same."""
     rng = np.random.default_rng(seed)
-    w, mean, bias, mean_bias, steps = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0, 0
+    w, mean, bias, mean_bias, steps = np.zeros(1 << bits), np.zeros(1 << bits), 0.0, 0.0, 0
     share = {s: len(sign) / (2 * max(1, (sign == s).sum())) for s in (-1, 1)}
     scale = 1.0  # w is kept as scale * w, so that shrinking costs nothing
     for epoch in range(EPOCHS):
@@ -80,51 +82,53 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, seed: int
 class Model:
     def __init__(self, sample: list[tuple[str, str]]) -> None:
         """``sample``: texts with their languages."""
-        rows, lang = [], []
-        for text, name in sample:
-            if text and _LETTER.search(text):
-                at, n = np.unique(trigrams(text), return_counts=True)
-                rows.append((at, SCALE * n / n.sum()))
-                lang.append(name)
-        langs = np.array(lang, object)
+        sample = [(t, x) for t, x in sample if t and _LETTER.search(t)]
+        lang = [x for _, x in sample]
         self.families = {f: sorted({x for x in lang if family(x) == f}) for f in sorted({family(x) for x in lang})}
-        fam = np.array([family(x) for x in lang], object)
-        self.family_w = [train(rows, np.where(fam == f, 1, -1)) for f in self.families] if len(self.families) > 1 else []
-        self.pairs = {}
+        machines = len(self.families) + sum(len(m) * (len(m) - 1) // 2 for m in self.families.values())
+        self.bits = max(MIN_BITS, min(MAX_BITS, int(math.log2(MODEL_BYTES / (4 * max(1, machines))))))
+        rows = []
+        for text, _ in sample:
+            at, n = np.unique(trigrams(text, self.bits), return_counts=True)
+            rows.append((at, SCALE * n / n.sum()))
+        langs, fam = np.array(lang, object), np.array([family(x) for x in lang], object)
+        stack = lambda made: (np.ascontiguousarray(np.array([w for w, _ in made], np.float32).T), np.array([b for _, b in made]))
+        self.family_m = stack([train(rows, np.where(fam == f, 1, -1), self.bits) for f in self.families]) if len(self.families) > 1 else None
+        self.pairs, self.pair_m = {}, {}
         for f, members in self.families.items():
             made = []
-            for a, b in combinations(range(len(members)), 2):
+            self.pairs[f] = list(combinations(range(len(members)), 2))
+            for a, b in self.pairs[f]:
                 own = [i for i in range(len(rows)) if langs[i] in (members[a], members[b])]
-                made.append((a, b, *train([rows[i] for i in own], np.where(langs[own] == members[a], 1, -1))))
-            self.pairs[f] = made
-        stack = lambda ws: np.ascontiguousarray(np.array(ws, np.float32).T)
-        self.family_m = stack([w for w, _ in self.family_w]) if self.family_w else None
-        self.pair_m = {f: stack([p[2] for p in made]) for f, made in self.pairs.items() if made}
+                made.append(train([rows[i] for i in own], np.where(langs[own] == members[a], 1, -1), self.bits))
+            if made:
+                self.pair_m[f] = stack(made)
 
     @staticmethod
-    def _mean(matrix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _margins(machines: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+        matrix, bias = machines
         total = np.zeros(matrix.shape[1])
         for k in range(0, len(at), 1 << 16):
             total += matrix[at[k : k + (1 << 16)]].sum(axis=0)
-        return SCALE * total / len(at)
+        return SCALE * total / len(at) + bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.families or not text or not _LETTER.search(text):
             return "und", 0.0
-        at = trigrams(text)
+        at = trigrams(text, self.bits)
         names = list(self.families)
         sure, best = 1.0, names[0]
         if self.family_m is not None:
-            m = self._mean(self.family_m, at) + np.array([b for _, b in self.family_w])
+            m = self._margins(self.family_m, at)
             order = np.argsort(-m)
             best, sure = names[order[0]], _squash(m[order[0]] - m[order[1]])
         members = self.families[best]
         if len(members) == 1:
             return members[0], sure
-        m = self._mean(self.pair_m[best], at)
+        m = self._margins(self.pair_m[best], at)
         won, chance = np.zeros(len(members)), np.zeros(len(members))
-        for (a, b, _, bias), v in zip(self.pairs[best], m, strict=True):
-            p = _squash(2 * (v + bias))
+        for (a, b), v in zip(self.pairs[best], m, strict=True):
+            p = _squash(2 * v)
             won[a if p >= 0.5 else b] += 1
             chance[a] += p
             chance[b] += 1 - p
