@@ -174,10 +174,9 @@ def diff_verdict(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", diff.verdict_column("a", "b").alias("v")).select("conv_id", "turn", "v.kind")
 
 
-@register("SELECT conv_id, turn, CASE WHEN turn % 6 = 5 THEN 2 ELSE 0 END AS inserted, 0 AS deleted FROM conversations WHERE turn % 6 IN (0, 1, 2, 4, 5)")
+@register("SELECT conv_id, turn, CASE WHEN turn % 6 = 5 THEN 2 ELSE 0 END AS inserted, 0 AS deleted FROM conversations")
 def diff_words(spark, sf_dir):
-    p = pairs(spark, sf_dir).where("turn % 6 in (0, 1, 2, 4, 5)")
-    return p.select("conv_id", "turn", diff.diff_column(F.col("a"), F.col("b"), "word", ignore_case=True, ignore_ws=True).alias("d")).select("conv_id", "turn", "d.inserted", "d.deleted")
+    return pairs(spark, sf_dir).select("conv_id", "turn", diff.diff_column(F.col("a"), F.col("b"), "word", ignore_case=True, ignore_ws=True).alias("d")).select("conv_id", "turn", "d.inserted", "d.deleted")
 
 
 @register()
@@ -291,11 +290,11 @@ def json_structure(spark, sf_dir):
     return s.select("doc_id", "n_object", "n_array", "n_string", "n_null", "n_number", "n_properties")
 
 
-@register(f"SELECT doc_id, fullkey AS path, type FROM (SELECT d.doc_id, t.fullkey, t.type FROM {_DOCS} d, json_tree(d.src) t) WHERE type = 'VARCHAR' OR type = 'NULL'")
+@register(f"SELECT d.doc_id, t.fullkey AS path, CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN t.type = 'VARCHAR' THEN 'string' ELSE lower(t.type) END AS kind FROM {_DOCS} d, json_tree(d.src) t")
 def json_nodes(spark, sf_dir):
-    n = jsondoc.nodes(documents_json(spark, sf_dir), "doc_id", "src").where("kind in ('string', 'null')")
+    n = jsondoc.nodes(documents_json(spark, sf_dir), "doc_id", "src")
     path = F.concat(F.lit("$"), F.regexp_replace(F.regexp_replace("pointer", "/([0-9]+)", "[$1]"), "/", "."))
-    return n.select("doc_id", path.alias("path"), F.when(F.col("kind") == "null", "NULL").otherwise("VARCHAR").alias("type"))
+    return n.select("doc_id", path.alias("path"), "kind")
 
 
 @register("SELECT DISTINCT o_custkey AS doc_id, '' AS parent, 'n' AS key, CAST(2 AS BIGINT) AS n FROM orders WHERE o_custkey % 5 = 0")
@@ -313,9 +312,9 @@ def json_field_types(spark, sf_dir):
     return jsondoc.field_types(jsondoc.nodes(documents_json(spark, sf_dir), "doc_id", "src")).select("doc_id", "kind", "n")
 
 
-@register(f"SELECT o_custkey AS doc_id, count(*) FILTER ({_NOTE} < 3) AS present, count(*) FILTER ({_NOTE} = 0) AS nulls, count(*) FILTER ({_NOTE} = 3) AS missing FROM orders GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER ({_NOTE} < 3) > 0")
+@register(f"SELECT o_custkey AS doc_id, 'note' AS key, count(*) FILTER ({_NOTE} < 3) AS present, count(*) FILTER ({_NOTE} = 0) AS nulls, count(*) FILTER ({_NOTE} = 3) AS missing FROM orders GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER ({_NOTE} < 3) > 0 UNION ALL SELECT o_custkey, unnest(['id', 'status']), count(*), 0, 0 FROM orders GROUP BY 1 HAVING count(*) >= 3")
 def json_nullability(spark, sf_dir):
-    return jsondoc.nullability(jsondoc.nodes(documents_json(spark, sf_dir), "doc_id", "src")).where("key = 'note'").select("doc_id", "present", "nulls", "missing")
+    return jsondoc.nullability(jsondoc.nodes(documents_json(spark, sf_dir), "doc_id", "src")).select("doc_id", "key", "present", "nulls", "missing")
 
 
 @register("SELECT DISTINCT o_custkey AS doc_id, '/n' AS pointer, 'unsafe-integer' AS fault FROM orders WHERE o_custkey % 3 = 0")
