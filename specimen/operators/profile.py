@@ -129,6 +129,15 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None, row: Column
     return rows.groupBy("fields").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row")).where("n > 1")
 
 
+def repeated_values(cells: DataFrame, freq: DataFrame, names: list[str] | None = None, values: int = EXAMPLES, rows: int = 6) -> DataFrame:
+    """Values that repeat within a column, the most frequent first, with the first rows that carry them:
+    ``(col, name, raw, n, rows)``.  Only the few chosen values are joined back to the cells."""
+    v = freq.where((F.col("n") > 1) & ~F.col("class").isin("empty", "whitespace", "null-like"))
+    v = _first(v if names is None else v.where(F.col("name").isin(names)), ["col", "name"], [F.desc("n"), "raw"], values).select("col", "name", "raw", "n")
+    hit = cells.select("row", "col", F.coalesce("raw", F.lit("")).alias("raw")).join(v, ["col", "raw"])
+    return _first(hit, ["col", "name", "raw", "n"], ["row"], rows).groupBy("col", "name", "raw", "n").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+
+
 def clusters(freq: DataFrame, kind: str) -> DataFrame:
     """Values of one column that may be the same: ``caps`` (only case differs), ``loose`` (marks or inner spaces differ) or
     ``whitespace`` (padded beside clean): ``(col, name, key, variants, n)``."""
