@@ -184,7 +184,9 @@ def find(freq: DataFrame, profile: DataFrame, duplicates: DataFrame) -> DataFram
     dup = p.where((F.col("populated") >= MIN_KEY_ROWS) & full & ~free & (((u >= 0.9) & (u < 1) & named) | ((u >= 0.98) & (u < 1))))
     parts.append(out(dup, "uniqueness", "dupkey", "warning", "A likely identifier has repeated values", F.concat(F.lit("Unique in "), pct(u), F.lit(" of the values.")), F.col("populated") - F.col("n_distinct")))
     parts.append(out(p.where((F.col("candidate_key") != "none") & (u == 1)), "uniqueness", "candidatekey", "info", "Could identify rows", "Every value is different.", F.col("n_distinct")))
-    odd = anomalies(freq, p).groupBy("col", "name").agg(F.sum("n").alias("odd"), F.transform(F.sort_array(F.collect_list(F.struct("first_row", "raw"))), lambda x: x["raw"]).alias("ex")).join(p.select("col", "populated", "dominant_type"), "col")
+    strays = anomalies(freq, p)
+    shown = lambda rows, order, text: _first(rows, ["col"], order, EXAMPLES + 1).groupBy("col").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("x")))), lambda e: e["x"]).alias("ex"))
+    odd = strays.groupBy("col", "name").agg(F.sum("n").alias("odd")).join(shown(strays, ["first_row"], F.col("raw")), "col").join(p.select("col", "populated", "dominant_type"), "col")
     few = F.col("odd") <= F.greatest(F.lit(3), F.floor(F.col("populated") * 0.02 + 0.5))
     parts.append(out(odd.where("dominant_type not in ('mixed', 'empty')"), "type-integrity", "anomaly", F.when(few, "warning").otherwise("notice"), F.concat(F.lit("Not "), F.col("dominant_type")), "Some values do not read like the rest of the column.", F.col("odd"), F.col("ex")))
     parts.append(out(p.where("dominant_type = 'mixed'"), "type-integrity", "mixed", "info", "No type prevails", "The column holds several kinds of values.", F.col("populated")))
@@ -195,7 +197,7 @@ def find(freq: DataFrame, profile: DataFrame, duplicates: DataFrame) -> DataFram
     wordy = p.where("categorical and dominant_type in ('text', 'mixed')").select("col")
     for kind, what, cat, title in (("caps", "caps", "consistency", "Values differ only by case"), ("loose", "similar", "consistency", "Values look alike"), ("whitespace", "variants", "whitespace", "Padded and clean spellings of one value")):
         c = clusters(freq, kind).join(wordy if kind != "whitespace" else p.where("categorical").select("col"), "col", "left_semi")
-        g = c.groupBy("col", "name").agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list(F.array_join(F.slice("variants", 1, 6), " · "))).alias("ex"))
+        g = c.groupBy("col", "name").agg(F.count(F.lit(1)).alias("k")).join(shown(c, [F.desc("n"), "key"], F.array_join(F.slice("variants", 1, 6), " · ")), "col")
         parts.append(out(g, cat, what, "notice", title, "They may mean the same.", F.col("k"), F.col("ex")))
     parts.append(out(p.where("n_padded > 0"), "whitespace", "padded", "notice", "Spaces around values", "Joins and comparisons will treat them as different.", F.col("n_padded")))
     parts.append(out(p.where("n_whitespace > 0"), "whitespace", "only", "notice", "Cells of white space alone", "They look empty and are not.", F.col("n_whitespace")))
