@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from ..functions import unicode as U
 from ..functions.jsre import utf16_length
 
 BREAK = r"\r\n|\r|\n"
+_ENDS = regex.compile(BREAK)
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’_-]*"
 _SPECIAL = f"[{U.special_class()}\\t]"
 
@@ -30,37 +33,42 @@ def abbreviation(cp: Column) -> Column:
     return F.when(cp < 32, F.concat(F.lit("^"), F.char(cp + 64))).when(cp == 127, "^?").otherwise(notation(cp))
 
 
-def characters(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, pos, c)``: every special character with its code-point offset.
+_FOUND = "array<struct<pos:int,line:int,column:int,cp:int,category:string,name:string,looks_like:string>>"
+
+
+@lru_cache(maxsize=1)
+def _pattern():
+    return regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", _SPECIAL))
 
-    Texts without one leave here, by one regex; of the others only special characters are kept after the split."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(_SPECIAL))
-    return rows.select("id", "text", F.posexplode(F.split("text", "")).alias("pos", "c")).where(F.col("c").rlike(_SPECIAL))
 
+def scan(text: str | None) -> list[dict]:
+    """Every special character of one text with its place, in one pass: offset, 1-based line and column."""
+    out, line, start, seen = [], 1, 0, 0
+    for m in _pattern().finditer(text or ""):
+        at, cp = m.start(), ord(m[0])
+        for e in _ENDS.finditer(text, seen, at):
+            line, start = line + 1, e.end()
+        seen = at
+        kind = ("tab", "Tab", None) if cp == 9 else ("bom", "Byte-order mark", None) if cp == 0xFEFF and at == 0 else U.classify(cp)
+        if kind:
+            out.append({"pos": at, "line": line, "column": at - start + 1, "cp": cp, "category": kind[0], "name": kind[1], "looks_like": kind[2]})
+    return out
 
-@arrow("category string, name string, looks_like string")
-def _classified(cp: pd.Series, pos: pd.Series) -> pd.DataFrame:
-    out = []
-    for c, p in zip(cp, pos, strict=True):
-        if c == 9:
-            out.append(("tab", "Tab", None))
-        elif c == 0xFEFF and p == 0:
-            out.append(("bom", "Byte-order mark", None))
-        else:
-            out.append(U.classify(int(c)) or (None, None, None))
-    return pd.DataFrame(out, columns=["category", "name", "looks_like"])
+
+@arrow(_FOUND)
+def _scanned(s: pd.Series) -> pd.Series:
+    return s.map(scan)
 
 
 def findings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per deceptive or invisible character: place (offset, 1-based line and column), category, severity, name."""
-    at = characters(df, id_col, text_col).withColumn("cp", code_point(F.col("c")))
-    before = F.substring("text", F.lit(1), F.col("pos"))
-    line = F.regexp_count(before, F.lit(BREAK)) + 1
-    column = F.length(F.regexp_replace(before, r"(?s)\A.*(\r\n|\r|\n)", "")) + 1
-    rows = at.withColumn("k", _classified("cp", "pos")).where("k.category is not null")
+    """One row per deceptive or invisible character: place (offset, 1-based line and column), category, severity, name.
+
+    Texts without one leave by a native regex before the Arrow pass."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(_SPECIAL))
+    at = rows.select("id", F.inline(_scanned("text")))
     meta = F.create_map(*[x for k, v in U.CATEGORIES.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("severity"), F.lit(v[1]).alias("grp"), F.lit(v[2]).alias("label")))])
-    m = F.element_at(meta, F.col("k.category"))
-    return rows.select("id", "pos", line.alias("line"), column.alias("column"), "cp", notation(F.col("cp")).alias("notation"), "k.category", "k.name", "k.looks_like", m["severity"].alias("severity"), m["grp"].alias("grp"), m["label"].alias("label"))
+    m = F.element_at(meta, F.col("category"))
+    return at.select("id", "pos", "line", "column", "cp", notation(F.col("cp")).alias("notation"), "category", "name", "looks_like", m["severity"].alias("severity"), m["grp"].alias("grp"), m["label"].alias("label"))
 
 
 def summaries(found: DataFrame) -> DataFrame:
