@@ -293,6 +293,40 @@ def hidden(text: Column) -> Column:
 CATEGORY = {"keys": 0, "numbers": 1, "types": 2, "shape": 3, "nulls": 4, "strings": 5, "structure": 6, "size": 7, "empty": 8}
 
 
+def _tallied(n: DataFrame) -> DataFrame:
+    """Rules that count values of a document, all in one aggregate: a count and the first examples of each."""
+    key, kind, at = F.col("key"), F.col("kind"), "pointer"
+    rules = [
+        ("keys-whitespace", "notice", "keys", "Spaces around keys", "Lookups by the bare name miss them.", (key != "") & (key != trim(key)), at, 1),
+        ("keys-empty", "info", "keys", "Empty keys", "A key without a name.", key == "", at, 1),
+        ("keys-hidden", "notice", "keys", "Keys with characters that cannot be seen", "They look like other keys and are not.", hidden(key).isNotNull(), at, 1),
+        ("numbers-unsafe", "warning", "numbers", "Numbers that double precision cannot hold", "Readers that use doubles will change them.", (kind == "number") & unsafe_number(F.col("raw")).isNotNull(), "raw", 1),
+        ("strings-hidden", "notice", "strings", "Strings with characters that cannot be seen", "They differ from what is shown.", hidden(F.col("value")).isNotNull(), at, 1),
+        ("size-array", "info", "size", "Large arrays", "Larger than is usual.", (kind == "array") & (F.col("child_count") >= LONG_ARRAY), at, 1),
+        ("size-object", "info", "size", "Large objects", "Larger than is usual.", (kind == "object") & (F.col("child_count") >= WIDE_OBJECT), at, 1),
+        ("size-string", "info", "size", "Large strings", "Larger than is usual.", F.col("string_length") >= LONG_STRING, at, 1),
+        ("empty-arrays", "info", "empty", "Empty arrays", "They hold nothing.", (kind == "array") & (F.col("child_count") == 0), at, MANY_EMPTY),
+        ("empty-objects", "info", "empty", "Empty objects", "They hold nothing.", (kind == "object") & (F.col("child_count") == 0), at, MANY_EMPTY),
+        ("empty-strings", "info", "empty", "Empty strings", "A large part of all strings.", F.col("value") == "", at, 5),
+    ]
+    flags = n.select("doc_id", "depth", "kind", *[F.when(r[5], F.col(r[6])).alias(f"x{i}") for i, r in enumerate(rules)])
+    g = flags.groupBy("doc_id").agg(F.max("depth").alias("depth"), F.count_if(F.col("kind") == "string").alias("strings"), *[F.sort_array(F.collect_list(f"x{i}")).alias(f"x{i}") for i in range(len(rules))])
+    tier = lambda sev, cat: F.lit({"warning": 0, "notice": 1, "info": 2}[sev] * 1000 + CATEGORY[cat] * 10)
+
+    def row(rule, sev, cat, title, detail, count, ex, fires):
+        s = F.struct(F.col("doc_id").cast("string").alias("subject"), F.lit(rule).alias("id"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"), title.alias("title"), F.lit(detail).alias("detail"), count.cast("bigint").alias("n"), F.slice(ex, 1, 12).alias("examples"), (F.size(ex) > 12).alias("examples_truncated"), tier(sev, cat).alias("priority"))
+        return F.when(fires, s)
+
+    made = []
+    for i, (rule, sev, cat, title, detail, _, _, least) in enumerate(rules):
+        k = F.size(f"x{i}")
+        fires = k >= least if rule != "empty-strings" else (k >= least) & (k / F.nullif(F.col("strings"), F.lit(0)) >= 0.2)
+        made.append(row(rule, sev, cat, F.lit(title), detail, k, F.col(f"x{i}"), fires))
+    none = F.array().cast("array<string>")
+    made.append(row("structure-depth", "info", "structure", F.when(F.col("depth") >= 2 * DEPTH, "Very deep nesting").otherwise("Deep nesting"), "Some readers limit the depth.", F.col("depth"), none, F.col("depth") >= DEPTH))
+    return g.select(F.inline(F.array_compact(F.array(*made))))
+
+
 def findings(n: DataFrame) -> DataFrame:
     """All findings, ``subject`` being the document.  ``n`` should be cached: every rule groups it."""
     d, parts = F.col("doc_id"), []
@@ -300,15 +334,9 @@ def findings(n: DataFrame) -> DataFrame:
     def out(rows, rule, sev, cat, title, detail, count, ex=None):
         parts.append(finding(rows, d, F.lit(rule) if isinstance(rule, str) else rule, sev, cat, CATEGORY[cat], title, detail, count, ex))
 
-    def tally(cond, key="pointer"):
-        return n.where(cond).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list(key)).alias("ex"))
-
     k, ex = F.col("k"), F.col("ex")
     dup = duplicate_keys(n).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list(F.concat("parent", F.lit("/"), "key"))).alias("ex"))
     out(dup, "dup-keys", "warning", "keys", "A key is repeated within an object", "Parsers keep one of the values and drop the others.", k, ex)
-    out(tally((F.col("key") != "") & (F.col("key") != trim(F.col("key")))), "keys-whitespace", "notice", "keys", "Spaces around keys", "Lookups by the bare name miss them.", k, ex)
-    out(tally(F.col("key") == ""), "keys-empty", "info", "keys", "Empty keys", "A key without a name.", k, ex)
-    out(tally(hidden(F.col("key")).isNotNull()), "keys-hidden", "notice", "keys", "Keys with characters that cannot be seen", "They look like other keys and are not.", k, ex)
     case = n.where("key is not null").groupBy("doc_id", "parent", F.lower("key").alias("low")).agg(F.count_distinct("key").alias("v"), F.array_join(F.array_sort(F.collect_set("key")), " / ").alias("keys")).where("v > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list("keys")).alias("ex"))
     out(case, "keys-case", "notice", "keys", "Keys differ only by case", "They may be meant to be one.", k, ex)
     mixed = n.where("key is null and parent is not null and kind != 'null'").groupBy("doc_id", "parent").agg(F.count_distinct("kind").alias("v")).where("v > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list("parent")).alias("ex"))
@@ -319,16 +347,7 @@ def findings(n: DataFrame) -> DataFrame:
     out(ft, F.concat(F.lit("types-field-"), F.col("array")), "notice", "types", "A field has several kinds", "Its values are not alike over the objects of the array.", k, ex)
     nl = nullability(n).where("present >= 3 and nulls / present >= 0.5").groupBy("doc_id", "array").agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list("key")).alias("ex"))
     out(nl, F.concat(F.lit("null-"), F.col("array")), "info", "nulls", "Fields that are mostly null", "At least half of their values.", k, ex)
-    out(tally((F.col("kind") == "number") & unsafe_number(F.col("raw")).isNotNull(), "raw"), "numbers-unsafe", "warning", "numbers", "Numbers that double precision cannot hold", "Readers that use doubles will change them.", k, ex)
-    out(tally(hidden(F.col("value")).isNotNull()), "strings-hidden", "notice", "strings", "Strings with characters that cannot be seen", "They differ from what is shown.", k, ex)
-    deep = n.groupBy("doc_id").agg(F.max("depth").alias("k")).where(F.col("k") >= DEPTH)
-    out(deep, "structure-depth", "info", "structure", F.when(k >= 2 * DEPTH, "Very deep nesting").otherwise("Deep nesting"), "Some readers limit the depth.", k)
-    for rule, cond in (("size-array", (F.col("kind") == "array") & (F.col("child_count") >= LONG_ARRAY)), ("size-object", (F.col("kind") == "object") & (F.col("child_count") >= WIDE_OBJECT)), ("size-string", F.col("string_length") >= LONG_STRING)):
-        out(tally(cond), rule, "info", "size", f"Large {rule[5:]}s", "Larger than is usual.", k, ex)
-    for kind in ("array", "object"):
-        out(tally((F.col("kind") == kind) & (F.col("child_count") == 0)).where(k >= MANY_EMPTY), f"empty-{kind}s", "info", "empty", f"Empty {kind}s", "They hold nothing.", k, ex)
-    blank = n.groupBy("doc_id").agg(F.count_if(F.col("value") == "").alias("k"), F.count_if(F.col("kind") == "string").alias("of")).where("k >= 5 and k / of >= 0.2")
-    out(blank, "empty-strings", "info", "empty", "Empty strings", "A large part of all strings.", k)
+    parts.append(_tallied(n))
     return gather(n.sparkSession, parts)
 
 

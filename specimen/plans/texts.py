@@ -221,7 +221,11 @@ def time_relative(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.relative(-d).alias("phrase"))
 
 
-@register()
+_NY = "timezone('America/New_York', {x})"
+
+
+@register(f"""WITH e AS (SELECT event_id, date_trunc('second', ts) AS w FROM events), r AS (SELECT event_id, w, {_NY.format(x='w')} AS t FROM e), k AS (SELECT *, {_NY.format(x='t')} <> w AS gap, {_NY.format(x="t - INTERVAL 1 HOUR")} = w AS early, {_NY.format(x="t + INTERVAL 1 HOUR")} = w AS late FROM r)
+SELECT event_id, CASE WHEN gap THEN 'gap' WHEN early OR late THEN 'ambiguous' ELSE 'unique' END AS status, CAST(epoch_us(CASE WHEN early THEN t - INTERVAL 1 HOUR ELSE t END) * 1000 AS VARCHAR) AS chosen_ns, CASE WHEN gap OR early OR late THEN 60 ELSE 0 END AS shift_minutes FROM k""")
 def time_zone_resolve(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     wall = T.parse_column(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "local")["wall_ns"]
@@ -334,7 +338,9 @@ def json_minified(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", jsondoc.minified(F.col("props")).alias("minified"))
 
 
-@register()
+@register(f"""WITH g AS (SELECT o_custkey AS d, count(*) AS c, count(*) FILTER ({_NOTE} = 0) AS z, count(*) FILTER ({_NOTE} = 1) AS s, count(*) FILTER ({_NOTE} = 2) AS m, count(*) FILTER ({_NOTE} = 3) AS x FROM orders GROUP BY 1)
+SELECT CAST(d AS VARCHAR) AS subject, 'dup-keys' AS id, 'warning' AS severity, CAST(1 AS BIGINT) AS n FROM g WHERE d % 5 = 0 UNION ALL SELECT CAST(d AS VARCHAR), 'numbers-unsafe', 'warning', 1 FROM g WHERE d % 3 = 0 UNION ALL SELECT CAST(d AS VARCHAR), 'shape-/orders', 'notice', 2 FROM g WHERE c >= 3 AND x BETWEEN 1 AND c - 1
+UNION ALL SELECT CAST(d AS VARCHAR), 'types-field-/orders', 'notice', least(s, m) FROM g WHERE c >= 3 AND s > 0 AND m > 0 UNION ALL SELECT CAST(d AS VARCHAR), 'null-/orders', 'info', 1 FROM g WHERE c >= 3 AND c - x >= 3 AND 2 * z >= c - x""")
 def json_findings(spark, sf_dir):
     n = jsondoc.nodes(documents_json(spark, sf_dir), "doc_id", "src").cache()
     return jsondoc.findings(n).select("subject", "id", "severity", "n")
