@@ -1,6 +1,6 @@
 """Connected components of a link table by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is a partially aggregated minimum and an equi-join that AQE may split, so a node with very many links never
+Every step is a partially aggregated minimum and an equi-join that AQE can split, so a node with very many links never
 lands in one task; each round is written to shared scratch space.  Rounds grow with the logarithm of the longest chain.
 """
 
@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from ._shared import discard, keep
 
 
-def _stars(links: DataFrame) -> DataFrame:
+def _stars(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The links after one round, and the scratch tables they are read from.
+
+    The minima are written before they are joined: a join whose sides are plain shuffles is one that AQE can split where a
+    node has very many links, or turn into a broadcast where the minima are few."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return small.union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+    low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+    large = keep(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+    least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+    small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct(), [low, large, least]
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -33,9 +37,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        after = keep(_stars(at), "links")
+        made, used = _stars(at)
+        after = keep(made, "links")
         now = _signature(after)
-        discard(at)
+        for old in (at, *used):
+            discard(old)
         at = after
         if now == seen:
             break

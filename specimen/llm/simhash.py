@@ -194,8 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = keep(fingerprints(docs, id_col, text_col), "prints")
     distinct = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct.select("fp"), shard_cap)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = keep(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    low = keep(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "low")
     of_print = keep(rooted.join(low, "root").select("fp", "component_id"), "of_print")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
