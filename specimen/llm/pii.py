@@ -209,9 +209,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with sanitised texts, same columns and rows.  Only texts with revealing terms are joined to them."""
     _, terms = _detect(docs, id_col, text_col)
     cols = docs.columns
-    plain = docs.withColumn("_key", F.md5(F.encode(F.col(text_col), "UTF-8")))
-    joined = plain.withColumn("_t", F.lit(None).cast(terms.schema["terms"].dataType)) if terms.isEmpty() else plain.join(terms.select(F.col("text_key").alias("_key"), F.col("terms").alias("_t")), "_key", "left")
-    joined = joined.select(*cols, "_t")
+    plain = docs.withColumn("__sp_key", F.md5(F.encode(F.col(text_col), "UTF-8")))
+    joined = plain.withColumn("__sp_t", F.lit(None).cast(terms.schema["terms"].dataType)) if terms.isEmpty() else plain.join(terms.select(F.col("text_key").alias("__sp_key"), F.col("terms").alias("__sp_t")), "__sp_key", "left")
+    joined = joined.select(*cols, "__sp_t")
     at, schema = cols.index(text_col), docs.schema
 
     def run(batches):

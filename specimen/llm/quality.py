@@ -52,7 +52,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus a struct ``_m`` of counts of the whole text."""
+    """``docs`` plus a struct ``__sp_m`` of counts of the whole text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, SPACE), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -63,13 +63,13 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def of_lines(x: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
-    out = docs.select("*", _let(words, of_words).alias("_w"), _let(lines, of_lines).alias("_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("_s"), F.regexp_count(text, F.lit("!")).cast("long").alias("_b"), F.regexp_count(text, F.lit(r"\|")).cast("long").alias("_p"))
-    m = F.struct("_w.n_words", "_w.word_chars", F.col("_s").alias("n_symbols"), "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines", F.col("_b").alias("n_bangs"), F.col("_p").alias("n_bars"))
-    return out.withColumn("_m", m).drop("_w", "_l", "_s", "_b", "_p")
+    out = docs.select("*", _let(words, of_words).alias("__sp_w"), _let(lines, of_lines).alias("__sp_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("__sp_s"), F.regexp_count(text, F.lit("!")).cast("long").alias("__sp_b"), F.regexp_count(text, F.lit(r"\|")).cast("long").alias("__sp_p"))
+    m = F.struct("__sp_w.n_words", "__sp_w.word_chars", F.col("__sp_s").alias("n_symbols"), "__sp_l.n_dup_lines", "__sp_w.n_repeat_words", "__sp_l.n_lines", F.col("__sp_b").alias("n_bangs"), F.col("__sp_p").alias("n_bars"))
+    return out.withColumn("__sp_m", m).drop("__sp_w", "__sp_l", "__sp_s", "__sp_b", "__sp_p")
 
 
 def _measures() -> dict[str, Column]:
-    per = lambda a, b: F.coalesce(F.col(f"_m.{a}") / F.nullif(F.col(f"_m.{b}"), F.lit(0)), F.lit(0.0))
+    per = lambda a, b: F.coalesce(F.col(f"__sp_m.{a}") / F.nullif(F.col(f"__sp_m.{b}"), F.lit(0)), F.lit(0.0))
     return {"symbols_per_char": per("n_symbols", "word_chars"), "dup_lines_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"), "bangs_per_word": per("n_bangs", "n_words"), "bars_per_word": per("n_bars", "n_words")}
 
 
@@ -111,27 +111,27 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, fences: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Measured rows with ``_base_failed`` and ``_kept``.  The fences have a row per group; whether they are broadcast is
+    """Measured rows with ``__sp_base_failed`` and ``__sp_kept``.  The fences have a row per group; whether they are broadcast is
     left to Spark's own size check, and AQE splits a hot group otherwise."""
-    f = fences.select(F.col("lang").alias("_fl"), F.col("source").alias("_fs"), F.col("fence").alias("_fence"))
-    out = rows.join(f, rows[lang_col].eqNullSafe(f["_fl"]) & rows[source_col].eqNullSafe(f["_fs"]), "left")
-    n = F.col("_m.n_words")
-    failed = (n < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > MAX_REPEAT_PERCENT * n)
+    f = fences.select(F.col("lang").alias("__sp_fl"), F.col("source").alias("__sp_fs"), F.col("fence").alias("__sp_fence"))
+    out = rows.join(f, rows[lang_col].eqNullSafe(f["__sp_fl"]) & rows[source_col].eqNullSafe(f["__sp_fs"]), "left")
+    n = F.col("__sp_m.n_words")
+    failed = (n < MIN_WORDS) | (100 * F.col("__sp_m.n_repeat_words") > MAX_REPEAT_PERCENT * n)
     inside = F.lit(True)
     for name, value in _measures().items():
-        inside = inside & (value <= F.element_at("_fence", name))
-    return out.withColumn("_base_failed", failed).withColumn("_kept", ~failed & inside).drop("_fl", "_fs", "_fence")
+        inside = inside & (value <= F.element_at("__sp_fence", name))
+    return out.withColumn("__sp_base_failed", failed).withColumn("__sp_kept", ~failed & inside).drop("__sp_fl", "__sp_fs", "__sp_fence")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: the base counts, ``base_failed`` and ``kept``."""
     rows = keep(measured(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))).drop("text"), "measures")
     out = judged(rows, keep(thresholds(sketches(rows)), "fences"))
-    return out.select("doc_id", *[F.col(f"_m.{c}").alias(c) for c in BASE], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return out.select("doc_id", *[F.col(f"__sp_m.{c}").alias(c) for c in BASE], F.col("__sp_base_failed").alias("base_failed"), F.col("__sp_kept").alias("kept"))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``docs`` without the rejected rows, same columns.  The texts are measured once and wait in scratch space."""
     rows = keep(measured(docs, text_col), "measures")
     fences = keep(thresholds(sketches(rows, lang_col, source_col)), "fences")
-    return judged(rows, fences, lang_col, source_col).where("_kept").select(*docs.columns)
+    return judged(rows, fences, lang_col, source_col).where("__sp_kept").select(*docs.columns)

@@ -226,15 +226,32 @@ def round_trip(docs: DataFrame, **options) -> DataFrame:
     return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark: SparkSession, path: str, keys: list[int]) -> dict[int, list[int]]:
-    """Ids of a few keys.  The directory (first and last key of each shard) leads to the shards; only those are opened."""
-    directory = sorted(read(spark, path).groupBy("shard").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo is not null").collect(), key=lambda r: r["lo"])
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, shard, lo, hi)``: the first and last key of each shard that has keys."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for file, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = Shard(raw.as_py())
+                if s.nulls < len(s.keys):
+                    rows.append((file, s.number, int(s.keys[s.nulls]), int(s.keys[-1])))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["file", "shard", "lo", "hi"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, shard long, lo long, hi long")
+
+
+def lookup(spark: SparkSession, shards: DataFrame, keys: list[int]) -> dict[int, list[int]]:
+    """Ids of a few keys.  ``shards``: a kept directory; only the files whose keys reach over one asked for are opened."""
+    near = None
+    for k in keys:
+        near = (F.lit(k).between(F.col("lo"), F.col("hi"))) if near is None else near | F.lit(k).between(F.col("lo"), F.col("hi"))
     out: dict[int, list[int]] = {}
-    wanted = {r["shard"] for r in directory for k in keys if r["lo"] <= k <= r["hi"]}
-    for row in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content").toLocalIterator():
-        s = Shard(bytes(row["content"]))
-        if s.number in wanted:
-            for k in keys:
-                if (ids := s.ids_of(k)) is not None and k not in out:
-                    out[k] = ids.tolist()
+    for row in shards.where(near).orderBy("shard").select("file").toLocalIterator() if keys else []:
+        s = Shard(bytes(spark.read.format("binaryFile").load(row["file"]).select("content").first()["content"]))
+        for k in keys:
+            if k not in out and (ids := s.ids_of(k)) is not None:
+                out[k] = ids.tolist()
     return out

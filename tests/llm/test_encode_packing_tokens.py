@@ -123,5 +123,5 @@ def test_token_round_trip(spark, docs_of, tmp_path):
     assert tokenbin.round_trip(docs_of([])).collect() == []
     path = f"file://{tmp_path}/shards"
     tokenbin.write(docs, path, shard_bytes=500)
-    found = tokenbin.lookup(spark, path, [9, 150, 12345])
+    found = tokenbin.lookup(spark, tokenbin.directory(spark, path), [9, 150, 12345])
     assert set(found) == {9, 150} and len(found[9]) == len(ids("hello world " * 200)) // 4
