@@ -122,7 +122,7 @@ def test_quantiles_of_sketches_are_close_and_merge(spark):
     rows = spark.createDataFrame(data, "doc_id long, lang string, source string, v long")
     zero = F.lit(0).cast("long")
     m = F.struct(F.lit(1000).cast("long").alias("n_words"), F.lit(1000).cast("long").alias("word_chars"), F.col("v").alias("n_symbols"), zero.alias("n_dup_lines"), zero.alias("n_repeat_words"), zero.alias("n_lines"), zero.alias("n_bangs"), zero.alias("n_bars"))
-    sketch = quality.sketches(rows.withColumn("_m", m))
+    sketch = quality.sketches(rows.withColumn("__sp_m", m))
     for by, groups in ((["lang"], [("a",), (None,)]), (["lang", "source"], [("a", "x"), (None, None)])):
         got = {tuple(r[c] for c in by): r for r in quality._quantiles(sketch, by).collect()}
         for g in groups:
@@ -141,3 +141,55 @@ def test_rules_reject_junk_and_keep_clean(docs_of):
     kept = {r["doc_id"] for r in quality.apply_rules(docs_of(clean + junk)).collect()}
     assert kept == {r[0] for r in clean}
     assert quality.apply_rules(docs_of([])).collect() == [] and quality.measure(docs_of([])).collect() == []
+
+
+def test_look_alikes_are_caught_and_clean_texts_are_not(docs_of):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    text = lambda n: [word() for _ in range(n)]
+
+    def edited(words, k):
+        out = list(words)
+        for at in rng.sample(range(len(words)), k):
+            out[at] = word()
+        return out
+
+    passage = text(60)
+    clean = [(k, " ".join(passage + text(150) if k % 3 == 0 else text(200))) for k in range(80)]  # many share a passage
+    base = text(250)
+    copies = [(1000 + k, " ".join(edited(base, 3))) for k in range(30)]
+    rows = clean + [(500, " ".join(base)), *copies]
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    assert all(len(sets[500] & sets[k]) / len(sets[500] | sets[k]) >= 0.8 for k, _ in copies)
+    for cap in (simhash.SHARD_CAP, 8):
+        links = simhash.look_links(simhash.looked(docs_of(rows)), shard_cap=cap)
+        found = simhash.near_duplicates(docs_of(rows), extra=links).collect()
+        group = {r["doc_id"]: r["component_id"] for r in found}
+        assert all(group[k] == 500 for k, _ in copies) and all(group[k] == k for k, _ in clean)
+    assert {r["doc_id"] for r in simhash.deduplicate(docs_of(rows)).collect()} == {k for k, _ in clean} | {500}
+
+
+def test_minhash_estimates_similarity():
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    other = [w if rng.random() > 0.03 else "x" + w for w in words]
+    a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, other))
+    same = sum(x == y for x, y in zip(simhash.look(" ".join(words))[1], simhash.look(" ".join(other))[1], strict=True)) / simhash.LOOK_VALUES
+    assert abs(same - len(a & b) / len(a | b)) < 0.12
+    assert simhash.look(None)[2] == [] and len(simhash.look("one two")[2]) == simhash.LOOK_BANDS
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    from collections import Counter
+
+    rng = random.Random(12)
+    text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(40)) for _ in range(40_000))
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+    words = text.split()
+    wins = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = Counter(wins)
+    want = len({j for i, w in enumerate(wins) if seen[w] > 1 for j in range(i, i + 3)})
+    df = spark.createDataFrame([(1, text, "en", "s", 1, 2, 3)], "doc_id long, text string, lang string, source string, fp int, n_words int, kept int")
+    r = quality.measure(df).first()
+    assert (r["n_words"], r["n_repeat_words"]) == (40_000, want)
+    assert quality.apply_rules(df).columns == df.columns == simhash.deduplicate(df).columns
