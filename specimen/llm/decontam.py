@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits.  Seeds are a test item's word 3-grams.  One pass over all whole documents
-counts the documents of every benchmark 3-gram; a seed is rare if at most ``RARE`` of the documents have it, and each item
-keeps its ``LEAST`` rarest 3-grams in any case, so an item that leaked into very many documents is still sought.  A second
-pass finds the seeds in each document; where ``MIN_SEEDS`` of one item lie close together, the passage around them and the
-item are aligned (match +2, mismatch -1, gap -1).  A passage whose score reaches ``SCORE`` of a perfect one is a leak, be it
-copied or edited.  The benchmark is sent to the executors in blocks of at most ``BLOCK`` items; each block reads the
-documents anew, so nothing is left out however many items there are.
+Words are lower-cased runs of letters and digits.  Seeds are a test item's word 3-grams, all of them: a gram's number of
+documents is no reason to leave it out, for the grams of an item that leaked often are as common as its leaks.  One pass
+over all whole documents finds the seeds; where ``MIN_SEEDS`` of one item lie close together, the passage around them and
+the item are aligned (match +2, mismatch -1, gap -1).  A passage whose score reaches ``SCORE`` of a perfect one is a leak, be
+it copied or edited.  Common seeds bring up many passages that are none; ``bound`` spares their alignment where no alignment
+can reach ``SCORE``, so it changes no result.  The benchmark is sent to the executors in blocks of at most ``BLOCK`` items;
+each block reads the documents anew, so nothing is left out however many items there are.
 
 *Defined cases.*  Null or empty documents and items: no leak; an item of fewer than three words is sought by its whole word
 sequence.  Null ids, ties and repeated rows: one row for each document row and item.  Extra columns are ignored (``find``)
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._shared import tune
 
-N, RARE, LEAST, MIN_SEEDS, SCORE, BLOCK = 3, 0.001, 12, 2, 0.5, 20_000
+N, MIN_SEEDS, SCORE, BLOCK = 3, 2, 0.5, 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"[^\W_]+")
 
@@ -58,6 +58,13 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, *where
 
 
+def bound(words: np.ndarray, b: np.ndarray) -> int:
+    """No alignment of an item with these distinct words in passage ``b`` scores more: a passage word adds at most a match
+    if the item has it, and takes at least a mismatch or a gap if not."""
+    run = np.concatenate([[0], np.cumsum(np.where(np.isin(b, words), MATCH, max(MISMATCH, GAP)))])
+    return int((run - np.minimum.accumulate(run)).max())
+
+
 class Benchmark:
     """A block of test items: word numbers, and every 3-gram with the items that have it."""
 
@@ -66,10 +73,12 @@ class Benchmark:
         self.items: list[tuple[int, np.ndarray]] = []
         self.grams: dict[tuple, int] = {}
         self.of_item: list[list[int]] = []
+        self.words: list[np.ndarray] = []
         for k, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
             if ids:
                 self.items.append((k, np.array(ids, np.int64)))
+                self.words.append(np.unique(ids))
                 grams = [tuple(ids[i : i + N]) for i in range(max(1, len(ids) - N + 1))]
                 self.of_item.append(sorted({self.grams.setdefault(g, len(self.grams)) for g in grams}))
         self.short = any(len(g) < N for g in self.grams)
@@ -78,7 +87,10 @@ class Benchmark:
         for g in self.grams:
             self.first[g[0]] = True
             self.second[g[-1]] = True
-        self.seeds: dict[int, list[int]] | None = None
+        self.seeds: dict[int, list[int]] = {}
+        for k, own in enumerate(self.of_item):
+            for g in own:
+                self.seeds.setdefault(g, []).append(k)
 
     def ids(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -102,21 +114,12 @@ class Benchmark:
                     out += [(k, i) for i in np.flatnonzero(same).tolist()]
         return out
 
-    def choose(self, documents: dict[int, int], total: int) -> None:
-        """Seeds of each item from the number of documents of each 3-gram."""
-        self.seeds = {}
-        for k, grams in enumerate(self.of_item):
-            rarest = sorted(grams, key=lambda g: (documents.get(g, 0), g))
-            for i, g in enumerate(rarest):
-                if i < LEAST or documents.get(g, 0) <= max(1.0, RARE * total):
-                    self.seeds.setdefault(g, []).append(k)
-
     def leaks(self, text: str | None) -> list[tuple[int, float, int, int, int, int]]:
         """``(item, share of a perfect score, seeds, aligned words, first word, last word + 1)`` of each item that leaked."""
         ids = self.ids(text)
         places: dict[int, list[tuple[int, int]]] = {}
         for g, i in self.hits(ids):
-            for k in self.seeds.get(g, ()):
+            for k in self.seeds[g]:
                 places.setdefault(k, []).append((i, g))
         out = []
         for k, at in places.items():
@@ -128,10 +131,11 @@ class Benchmark:
                 if cluster and i - cluster[-1][0] > reach:
                     if len({x for _, x in cluster}) >= need:
                         lo, hi = max(0, cluster[0][0] - len(item)), cluster[-1][0] + N + len(item)
-                        score, s, e = align(item, ids[lo:hi])
-                        share = score / (MATCH * len(item))
-                        if best is None or share > best[1]:
-                            best = (self.items[k][0], share, len({x for _, x in cluster}), e - s, lo + s, lo + e)
+                        if bound(self.words[k], ids[lo:hi]) >= SCORE * MATCH * len(item):
+                            score, s, e = align(item, ids[lo:hi])
+                            share = score / (MATCH * len(item))
+                            if best is None or share > best[1]:
+                                best = (self.items[k][0], share, len({x for _, x in cluster}), e - s, lo + s, lo + e)
                     cluster = []
                 cluster.append((i, g))
             if best and best[1] >= SCORE:
@@ -148,26 +152,11 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
         yield Benchmark([(r[0], r[1]) for r in own.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).collect()])
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, block: int):
-    """Benchmark blocks with seeds chosen by counts over all documents, broadcast."""
+def _prepared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, block: int):
+    """Benchmark blocks, broadcast."""
     spark = docs.sparkSession
     tune(spark)
     for made in _blocks(benchmark, item_col, item_text_col, block):
-        shared = spark.sparkContext.broadcast(made)
-
-        def count(batches, shared=shared):
-            for b in batches:
-                seen: dict[int, int] = {}
-                for t in b.column(0).to_pylist():
-                    for g in {g for g, _ in shared.value.hits(shared.value.ids(t))}:
-                        seen[g] = seen.get(g, 0) + 1
-                seen[-1] = b.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
-
-        rows = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        # as many rows as the block has 3-grams, whatever the corpus
-        counts = {r["gram"]: r["n"] for r in rows.collect()}
-        made.choose(counts, counts.pop(-1, 0))
         yield spark.sparkContext.broadcast(made)
 
 
@@ -177,7 +166,7 @@ _LEAKS = "doc_id long, item_id long, score double, seeds int, aligned_words int,
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``doc_id, item_id, score`` and the aligned passage of every leak (word numbers, end exclusive)."""
     out = None
-    for shared in _prepared(docs, benchmark, text_col, item_col, item_text_col, block):
+    for shared in _prepared(docs, benchmark, item_col, item_text_col, block):
 
         def run(batches, shared=shared):
             for b in batches:
@@ -194,7 +183,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` without the rows in which a benchmark item leaked, same columns.  No join: rows are judged where they are."""
     at = docs.columns.index(text_col)
-    for shared in _prepared(docs, benchmark, text_col, item_col, item_text_col, block):
+    for shared in _prepared(docs, benchmark, item_col, item_text_col, block):
 
         def run(batches, shared=shared):
             for b in batches:

@@ -105,3 +105,24 @@ def test_leaks_copied_and_edited(spark, docs_of):
     assert {r["doc_id"] for r in left.collect()} == {*range(40), 102, 300, 301}
     assert decontam.decontaminate(docs_of(rows), bench.where("false")).count() == len(rows)
     assert decontam.find(docs_of([]), bench).collect() == []
+
+
+def test_leaks_that_are_frequent_and_partial_or_edited(spark, docs_of):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    items = [(k, text(60)) for k in range(2)]
+    part = " ".join(items[0][1].split()[:40])
+    edited = " ".join("changed" if k % 12 == 6 else w for k, w in enumerate(items[1][1].split()))
+    rows = [(k, text(80)) for k in range(40)] + [(100 + k, f"{text(30)} {part} {text(30)}") for k in range(50)] + [(200 + k, f"{text(30)} {edited} {text(30)}") for k in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.find(docs_of(rows), bench).collect()}
+    assert found == {(100 + k, 0) for k in range(50)} | {(200 + k, 1) for k in range(50)}
+    assert {r["doc_id"] for r in decontam.decontaminate(docs_of(rows), bench).collect()} == set(range(40))
+
+
+def test_the_bound_is_never_below_the_alignment():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = (np.array([rng.randint(-1, 6) for _ in range(rng.randint(1, 30))]) for _ in range(2))
+        a = np.maximum(a, 0)
+        assert decontam.bound(np.unique(a), b) >= decontam.align(a, b)[0]
