@@ -16,8 +16,9 @@ A tree reports a spanning star of what it linked, not all pairs, so a group of n
 *Look-alikes* (``deduplicate`` only).  Edited copies of moderate length differ in more than three bits, so the pipeline adds
 links between texts whose five-word shingles are similar to 0.8 or more.  Such texts meet in shards keyed by bands of a
 one-permutation MinHash; each shard's BK-tree is searched within ``LOOK_RADIUS`` bits of the five-word fingerprints, and what
-it finds is confirmed by the share of equal MinHash values (128, standard error 0.035, accepted from ``LOOK_LEAST``).  A text
-confirmed by a member of the tree is linked and not added, so a shard of n copies costs n searches of a small tree.  Shards
+it finds is confirmed by the share of equal MinHash values (128, standard error 0.035, accepted from ``LOOK_LEAST``).  Each
+group of linked texts in a shard has a tree of all its members; a text's search of a tree ends at the first member that
+confirms it, so a group of n copies usually costs far fewer than n^2 comparisons and no pair of groups is left unlinked.  Shards
 over ``SHARD_CAP`` (a passage that very many texts share) are dealt out anew by two bands at once, each with the next three.  Two texts of similarity
 0.8 share a band with a chance of 99.7 %.
 
@@ -247,33 +248,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def _confirmed(tree: BKTree, members: list, value: int, mine: np.ndarray) -> int | None:
+    """The fingerprint of the first member within ``LOOK_RADIUS`` whose MinHash values confirm; None if there is none."""
+    stack = [0]
+    while stack:
+        at = stack.pop()
+        d = (value ^ tree.values[at]).bit_count()
+        if d <= LOOK_RADIUS and np.count_nonzero(members[at][1] == mine) >= LOOK_LEAST * LOOK_VALUES:
+            return members[at][0]
+        edges = tree.edges[at]
+        if edges:
+            stack.extend(n for e, n in edges.items() if d - LOOK_RADIUS <= e <= d + LOOK_RADIUS)
+    return None
+
+
 def _look_links(batches):
-    """Rows sorted by shard: links of each text with what its shard's tree confirms."""
+    """Rows sorted by shard: links that span the groups of texts which the shard's trees confirm."""
     at, held, out = None, [], []
 
     def search():
         if len({r[0] for r in held}) < 2:
             return
-        tree, members, parent = BKTree(), [], {r[0]: r[0] for r in held}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        groups: list[tuple[BKTree, list]] = []  # a tree and its members, in the same order
+        same: dict[tuple, int] = {}
         for fp, fp5, sig in held:
-            mine, linked = np.frombuffer(sig, np.uint8), False
-            for k in tree.within(fp5 & (1 << 64) - 1, LOOK_RADIUS):
-                if np.count_nonzero(members[k][1] == mine) >= LOOK_LEAST * LOOK_VALUES:
-                    linked = True
-                    x, y = root(fp), root(members[k][0])
-                    if x != y:  # a spanning forest: n members give fewer than n rows
-                        parent[max(x, y)] = min(x, y)
-                        out.append((fp, members[k][0]))
+            if (first := same.setdefault((fp5, sig), fp)) != fp:  # it links to just what the first one links to
+                out.append((fp, first))
+                continue
+            value, mine = fp5 & (1 << 64) - 1, np.frombuffer(sig, np.uint8)
+            linked = []
+            for k, (tree, members) in enumerate(groups):
+                other = _confirmed(tree, members, value, mine)
+                if other is not None:
+                    linked.append(k)
+                    if other != fp:
+                        out.append((fp, other))
             if not linked:
-                tree.add(fp5 & (1 << 64) - 1)
-                members.append((fp, mine))
+                groups.append((BKTree(), []))
+                linked = [len(groups) - 1]
+            into = max(linked, key=lambda k: len(groups[k][1]))
+            tree, members = groups[into]
+            more = [(value, (fp, mine))]
+            for k in reversed(linked):
+                if k != into:  # n members give fewer than n rows: each link but the first joins two groups
+                    more += zip(groups[k][0].values, groups[k][1], strict=True)
+            for v, m in more:
+                tree.add(v)
+                members.append(m)
+            if len(linked) > 1:
+                gone = set(linked) - {into}
+                groups[:] = [g for k, g in enumerate(groups) if k not in gone]
 
     def ready():
         rows = [(a, b) for a, b in out]

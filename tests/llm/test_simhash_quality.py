@@ -2,6 +2,8 @@ import random
 import re
 import statistics
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -193,3 +195,37 @@ def test_very_long_texts_and_clashing_columns(spark):
     r = quality.measure(df).first()
     assert (r["n_words"], r["n_repeat_words"]) == (40_000, want)
     assert quality.apply_rules(df).columns == df.columns == simhash.deduplicate(df).columns
+
+
+def signature(differs):
+    sig = np.zeros(simhash.LOOK_VALUES, np.uint8)
+    sig[list(differs)] = 1
+    return sig.tobytes()
+
+
+def test_a_linked_text_still_links_later_ones():
+    held = [(1, 0, signature(range(25))), (2, 0, signature([])), (3, 0, signature(range(40, 65))), (4, 0, signature(range(128)))]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 4), *[pa.array(c, k) for c, k in zip(zip(*held, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)]], ["g", "fp", "fp5", "sig"])
+    links = {frozenset((r["a"], r["b"])) for out in simhash._look_links([batch]) for r in out.to_pylist()}
+    assert links == {frozenset((1, 2)), frozenset((2, 3))}  # 1 and 3 are alike only through 2
+
+
+def test_shards_link_just_what_all_pairs_link():
+    rng = random.Random(14)
+    held = []
+    for k in range(120):
+        base = [(k % 4) * 30 + j for j in range(28)]
+        held.append((k, rng.getrandbits(6), signature(rng.sample(base, rng.randint(6, 26)))))
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 120), *[pa.array(c, k) for c, k in zip(zip(*held, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)]], ["g", "fp", "fp5", "sig"])
+
+    def groups(links):
+        root = {h[0]: h[0] for h in held}
+        for a, b in links:
+            old, new = root[a], root[b]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    alike = lambda a, b: (a[1] ^ b[1]).bit_count() <= simhash.LOOK_RADIUS and sum(x == y for x, y in zip(a[2], b[2], strict=True)) >= simhash.LOOK_LEAST * simhash.LOOK_VALUES
+    want = [(a[0], b[0]) for i, a in enumerate(held) for b in held[:i] if alike(a, b)]
+    got = [(r["a"], r["b"]) for out in simhash._look_links([batch]) for r in out.to_pylist()]
+    assert groups(got) == groups(want) and len(got) < len(held)
