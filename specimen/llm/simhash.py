@@ -18,9 +18,10 @@ links between texts whose five-word shingles are similar to 0.8 or more.  Such t
 one-permutation MinHash; each shard's BK-tree is searched within ``LOOK_RADIUS`` bits of the five-word fingerprints, and what
 it finds is confirmed by the share of equal MinHash values (128, standard error 0.035, accepted from ``LOOK_LEAST``).  Each
 group of linked texts in a shard has a tree of all its members; a text's search of a tree ends at the first member that
-confirms it, so a group of n copies usually costs far fewer than n^2 comparisons and no pair of groups is left unlinked.  Shards
-over ``SHARD_CAP`` (a passage that very many texts share) are dealt out anew by two bands at once, each with the next three.  Two texts of similarity
-0.8 share a band with a chance of 99.7 %.
+confirms it, so a group of n copies usually costs far fewer than n^2 comparisons and no pair of groups is left unlinked.  Texts
+of shards over ``SHARD_CAP`` (a passage that very many texts share) are dealt out anew by each of ``LOOK_BLOCKS`` runs of their
+MinHash values: two texts with enough equal values to confirm agree on all values of one run at least, so no pair is dropped
+for a shard's size.  Two texts of similarity 0.8 share a band with a chance of 99.7 %.
 
 *Defined cases.*  Null or empty text: fingerprint zero, linked like any other.  Repeated rows and ties: each row is
 returned, with the smallest non-null ``doc_id`` of its component (null if all are null).  Extra columns are ignored.
@@ -29,6 +30,7 @@ An empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -45,6 +47,8 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 SHARD_CAP, SHARD_MEAN = 512, 64
 #: Look-alikes: words of a shingle, MinHash values, bands of three of them, bits and share of equal values that confirm.
 LOOK_SHINGLE, LOOK_VALUES, LOOK_BANDS, LOOK_RADIUS, LOOK_LEAST = 5, 128, 8, 20, 0.74
+#: With so many runs of the MinHash values, one has no differing value if enough values are equal to confirm.
+LOOK_BLOCKS = LOOK_VALUES - math.ceil(LOOK_LEAST * LOOK_VALUES) + 1
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCK = 1 << 15
 
@@ -346,10 +350,10 @@ def look_links(rows: DataFrame, shard_cap: int = SHARD_CAP) -> DataFrame:
     sizes = keep(sizes, "sizes")  # only shards with company are dealt out
     several = rows.join(sizes, "g")
     cold = several.where(F.col("size") <= shard_cap).select("g", "fp", "fp5", "sig")
-    hot = several.where(F.col("size") > shard_cap)
-    finer = hot.select("g", "band", "fp", "fp5", "sig", F.posexplode("keys").alias("other", "k2"))
-    finer = finer.where(F.pmod(F.col("other") - F.col("band"), F.lit(LOOK_BANDS)).between(1, 3))
-    finer = finer.select(F.xxhash64("g", "other", "k2").alias("g"), "fp", "fp5", "sig")
+    hot = several.where(F.col("size") > shard_cap).select("fp", "fp5", "sig").distinct()
+    runs = [(int(part[0]) + 1, len(part)) for part in np.array_split(np.arange(LOOK_VALUES), LOOK_BLOCKS)]
+    finer = hot.select("fp", "fp5", "sig", F.posexplode(F.array(*[F.substring("sig", at, n) for at, n in runs])).alias("run", "part"))
+    finer = finer.select(F.xxhash64(F.lit("run"), "run", "part").alias("g"), "fp", "fp5", "sig")
     dealt = cold.union(finer).repartition(partitions(spark), "g").sortWithinPartitions("g", "fp")
     return dealt.mapInArrow(_look_links, "a long, b long")
 

@@ -229,3 +229,17 @@ def test_shards_link_just_what_all_pairs_link():
     want = [(a[0], b[0]) for i, a in enumerate(held) for b in held[:i] if alike(a, b)]
     got = [(r["a"], r["b"]) for out in simhash._look_links([batch]) for r in out.to_pylist()]
     assert groups(got) == groups(want) and len(got) < len(held)
+
+
+def test_hot_shards_drop_no_pair_that_shares_one_band(spark):
+    rng = random.Random(15)
+    keys = lambda k: [99, *(1000 + 10 * k + j for j in range(1, simhash.LOOK_BANDS))]
+    rows = [(k, 0, bytearray(rng.randrange(256) for _ in range(simhash.LOOK_VALUES)), keys(k)) for k in range(30)]
+    most = simhash.LOOK_BLOCKS - 1
+    pairs = [set(rng.sample(range(simhash.LOOK_VALUES), most)) for _ in range(8)] + [set(range(0, 4 * most, 4))]
+    for k, differ in enumerate(pairs):  # as many values differ as may, wherever they are
+        rows.append((100 + k, 0, bytearray(v ^ (j in differ) for j, v in enumerate(rows[k][2])), keys(100 + k)))
+    df = spark.createDataFrame([(k, k, f, bytes(sig), own) for k, f, sig, own in rows], "doc_id long, fp long, fp5 long, sig binary, keys array<long>")
+    for cap in (simhash.SHARD_CAP, 8):
+        found = {frozenset((r["a"], r["b"])) for r in simhash.look_links(df, shard_cap=cap).collect()}
+        assert found == {frozenset((k, 100 + k)) for k in range(len(pairs))}
