@@ -5,9 +5,10 @@
 *Sanitisation* (after Sanchez and Batet).  Protected entities are the distinct base values.  Terms that stand within
 ``WINDOW`` words of a mention co-occur with its entity.  Counts come from the whole corpus: a pair's support is its number
 of distinct contexts (copies of one passage count once), a term's frequency its number of documents.  The disclosure of
-entity e by term t is PMI(t, e) / IC(e) = 1 + log2 p(e|t) / IC(e): 1 where the term reveals the entity for certain.  Pairs
-with at least ``SUPPORT`` contexts and a disclosure of ``GENERALISE`` or more become spans of kind ``term``: generalised to
-their class of word, or removed from ``REMOVE`` on.  Term frequencies are counted in blocks of ``BLOCK`` candidate terms, so
+entity e by term t is PMI(t, e) / IC(e) = 1 + log2 p(e|t) / IC(e): 1 where the term reveals the entity for certain.  Every
+co-occurring pair is scored; p(e|t) is the lower end of its confidence interval (Wilson, one-sided 95 %), so little evidence
+counts for less.  Pairs with a disclosure of ``GENERALISE`` or more become spans of kind ``term``: generalised to their class
+of word, or removed from ``REMOVE`` on.  Term frequencies are counted in blocks of ``BLOCK`` candidate terms, so
 what is sent to the executors is bounded and nothing is left out.
 
 *Defined cases.*  Null or empty text: no spans; sanitised text stays as it is.  Offsets are code points, ends exclusive.
@@ -21,13 +22,13 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import keep, tune
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-WINDOW, SUPPORT, GENERALISE, REMOVE, BLOCK = 8, 3, 0.8, 0.95, 200_000
+WINDOW, Z, GENERALISE, REMOVE, BLOCK = 8, 1.645, 0.8, 0.95, 200_000
 _IS_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only begin at the start of a run of digits, and runs are taken whole
@@ -146,20 +147,28 @@ def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text",
     return out if out is not None else spark.createDataFrame([], "term string, df long")
 
 
-def disclosures(texts: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def _surely(k: Column, n: Column) -> Column:
+    """The lower end of the confidence interval of a share ``k`` of ``n``."""
+    p = k / n
+    return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+
+
+def disclosures(texts: DataFrame, docs: DataFrame, text_col: str = "text", least: float = GENERALISE) -> DataFrame:
     """``(entity, term, disclosure)`` of the pairs over the threshold.  ``texts`` has the mentions of each distinct text."""
     rows = texts.select(F.inline("mentions"))
     contexts = rows.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
-    supported = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = contexts.select("entity", "context", F.explode(F.array_distinct("terms.term")).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
-    pairs = keep(pairs.join(supported, "entity"), "pairs")
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"))
+    n = docs.count()
+    ic = -F.log2(F.least(F.lit(1.0), F.col("n_entity") / F.lit(max(n, 1)))) + F.lit(1e-12)
+    # no pair is lost: its disclosure is highest if the term stands in no other document
+    pairs = pairs.join(entities, "entity").where(1 + F.log2(_surely(F.col("n_pair"), F.col("n_pair"))) / ic >= least)
+    pairs = keep(pairs, "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     df = term_frequencies(docs, pairs.select("term").distinct(), text_col)
-    n = docs.count()
-    ic = -F.log2(F.least(F.lit(1.0), F.col("n_entity") / F.lit(max(n, 1)))) + F.lit(1e-12)
-    p = F.least(F.lit(1.0), F.col("n_pair") / F.greatest(F.col("df"), F.lit(1)))
+    p = _surely(F.least(F.col("n_pair"), F.col("df")), F.col("df"))
     scored = pairs.join(df, "term").select("entity", "term", (1 + F.log2(p) / ic).alias("disclosure"))
     return keep(scored.where(F.col("disclosure") >= least), "disclosures")
 

@@ -108,3 +108,13 @@ def test_pii_terms_that_reveal_an_entity(docs_of):
         assert not pii.base_spans(r["text"]) and "Zanzibari" not in (r["text"] or "")
     assert sum(r["text"] is None for r in clean.collect()) == 1
     assert pii.find(docs_of([])).collect() == [] and pii.sanitise(docs_of([])).collect() == []
+
+
+def test_pii_scores_entities_of_one_or_two_contexts(docs_of):
+    rows = [(k, f"the meeting of {k % 7} people was about the budget and the plan") for k in range(4000)]
+    rows += [(5000, "the meeting was led by Quillfeather with rare@mail.example.com about the budget")]
+    rows += [(6000 + k, f"the {'plan' if k else 'budget'} was by Umberfield at twice@mail.example.com and the meeting") for k in range(2)]
+    text = dict(rows)
+    for r in pii.find(docs_of(rows)).where("doc_id >= 5000").collect():
+        terms = {text[r["doc_id"]][int(s) : int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",")) if k == "term"}
+        assert ("Quillfeather" if r["doc_id"] == 5000 else "Umberfield") in terms and not terms & {"the", "budget", "meeting"}
