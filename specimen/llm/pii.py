@@ -8,7 +8,7 @@ of distinct contexts (copies of one passage count once), a term's frequency its
 entity e by term t is PMI(t, e) / IC(e) = 1 + log2 p(e|t) / IC(e): 1 where the term reveals the entity for certain.  Every
 co-occurring pair is scored; p(e|t) is the lower end of its confidence interval (Wilson, one-sided 95 %), so little evidence
 counts for less.  Pairs with a disclosure of ``GENERALISE`` or more become spans of kind ``term``: generalised to their class
-of word, or removed from ``REMOVE`` on.  Term frequencies are counted in blocks of ``BLOCK`` candidate terms, so
+of word, or removed from ``REMOVE`` on, wherever they stand in a text that mentions the entity.  Term frequencies are counted in blocks of ``BLOCK`` candidate terms, so
 what is sent to the executors is bounded and nothing is left out.
 
 *Defined cases.*  Null or empty text: no spans; sanitised text stays as it is.  Offsets are code points, ends exclusive.
@@ -85,7 +85,7 @@ def entity(kind: str, value: str) -> str:
 
 
 def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Each mention's entity, a hash of its context, and the terms around it with their places."""
+    """Each mention's entity, a hash of its context, and the terms around it."""
     inside = sorted((s, e) for _, s, e in spans)
     out = []
     for kind, s, e in spans:
@@ -94,30 +94,30 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         terms = [m for m in left + right if not any(a < m.end() and m.start() < z for a, z in inside)]
         words = [m[0].lower() for m in terms]
         context = int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "big", signed=True)
-        out.append({"entity": entity(kind, text[s:e]), "context": context, "terms": [{"term": w, "start": m.start(), "end": m.end()} for w, m in zip(words, terms, strict=True)]})
+        out.append({"entity": entity(kind, text[s:e]), "context": context, "terms": words})
     return out
 
 
-_TERMS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_MENTIONS = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", _TERMS)]))
-_SCAN = "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base string, mentions array<struct<entity:string,context:long,terms:array<struct<term:string,start:int,end:int>>>>"
+_MENTIONS = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
+_SCAN = "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base string, held string, mentions array<struct<entity:string,context:long,terms:array<string>>>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass over whole texts.  ``text_key`` (null without a mention) names the text: equal texts have equal spans."""
+    """One pass over whole texts.  ``text_key`` (null without a mention) names the text ``held``: equal texts have equal spans."""
     tune(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            key, counts, base, found = [], [], [], []
+            key, counts, base, held, found = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 spans = base_spans(t)
                 key.append(hashlib.md5(t.encode()).hexdigest() if spans else None)
                 counts.append([sum(k == kind for k, _, _ in spans) for kind in KINDS[:4]])
                 base.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
+                held.append(t if spans else None)
                 found.append(mentions(t, spans) if spans else [])
             n = list(zip(*counts, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.string()), *[pa.array(c, pa.int64()) for c in n], pa.array(base, pa.string()), pa.array(found, _MENTIONS)], [x.split()[0] for x in _SCAN.split("array")[0].split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.string()), *[pa.array(c, pa.int64()) for c in n], pa.array(base, pa.string()), pa.array(held, pa.string()), pa.array(found, _MENTIONS)], [x.split()[0] for x in _SCAN.split("array")[0].split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, _SCAN)
 
@@ -158,7 +158,7 @@ def disclosures(texts: DataFrame, docs: DataFrame, text_col: str = "text", least
     rows = texts.select(F.inline("mentions"))
     contexts = rows.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = contexts.select("entity", "context", F.explode(F.array_distinct("terms.term")).alias("term"))
+    pairs = contexts.select("entity", "context", F.explode(F.array_distinct("terms")).alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"))
     n = docs.count()
     ic = -F.log2(F.least(F.lit(1.0), F.col("n_entity") / F.lit(max(n, 1)))) + F.lit(1e-12)
@@ -173,16 +173,41 @@ def disclosures(texts: DataFrame, docs: DataFrame, text_col: str = "text", least
     return keep(scored.where(F.col("disclosure") >= least), "disclosures")
 
 
+def occurrences(text: str, wanted: list[dict]) -> list[dict]:
+    """``start, end, d`` of every place in the whole text where one of the terms stands outside base spans."""
+    value = {w["term"]: w["d"] for w in wanted}
+    inside = sorted((s, e) for _, s, e in base_spans(text))
+    out, k = [], 0
+    for m in _TERM.finditer(text):
+        d = value.get(m[0].lower())
+        if d is not None:
+            while k < len(inside) and inside[k][1] <= m.start():
+                k += 1
+            if not any(a < m.end() and m.start() < z for a, z in inside[k:]):
+                out.append({"start": m.start(), "end": m.end(), "d": d})
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("d", pa.float64())]))
+
+
 def _term_spans(texts: DataFrame, found: DataFrame) -> DataFrame:
     """``(text_key, terms)``: the spans of revealing terms of each distinct text, as ``array<struct<start,end,d>>``."""
-    rows = texts.select("text_key", F.inline("mentions")).select("text_key", "entity", F.inline("terms"))
-    hit = rows.join(found, ["entity", "term"]).groupBy("text_key", "start", "end").agg(F.max("disclosure").alias("d"))
-    return hit.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "d"))).alias("terms"))
+    rows = texts.select("text_key", F.explode(F.array_distinct("mentions.entity")).alias("entity")).join(found, "entity")
+    wanted = rows.groupBy("text_key", "term").agg(F.max("disclosure").alias("d")).groupBy("text_key").agg(F.collect_list(F.struct("term", "d")).alias("wanted"))
+
+    def run(batches):
+        for b in batches:
+            spans = [occurrences(t, w) for t, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPANS)], ["text_key", "terms"])
+
+    made = texts.join(wanted, "text_key").select("text_key", "held", "wanted").mapInArrow(run, "text_key string, terms array<struct<start:int,end:int,d:double>>")
+    return made.where(F.size("terms") > 0)
 
 
 def _detect(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     scanned = keep(scan(docs, id_col, text_col), "pii")
-    texts = scanned.where("text_key is not null").groupBy("text_key").agg(F.first("mentions").alias("mentions"))
+    texts = scanned.where("text_key is not null").groupBy("text_key").agg(F.first("mentions").alias("mentions"), F.first("held").alias("held"))
     texts = keep(texts, "texts")
     return scanned, keep(_term_spans(texts, disclosures(texts, docs, text_col)), "terms")
 
@@ -190,8 +215,8 @@ def _detect(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of base spans, a digest of them, and all spans, base and revealing terms."""
     scanned, terms = _detect(docs, id_col, text_col)
-    with_mentions = scanned.where("text_key is not null").drop("mentions").join(terms, "text_key", "left")
-    without = scanned.where("text_key is null").drop("mentions").withColumn("terms", F.lit(None).cast(terms.schema["terms"].dataType))
+    with_mentions = scanned.where("text_key is not null").drop("mentions", "held").join(terms, "text_key", "left")
+    without = scanned.where("text_key is null").drop("mentions", "held").withColumn("terms", F.lit(None).cast(terms.schema["terms"].dataType))
     more = F.coalesce(F.array_join(F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"])), ","), F.lit(""))
     spans = F.concat_ws(",", F.nullif(F.col("base"), F.lit("")), F.nullif(more, F.lit("")))
     return with_mentions.select(*without.columns).union(without).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))

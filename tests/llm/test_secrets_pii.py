@@ -118,3 +118,14 @@ def test_pii_scores_entities_of_one_or_two_contexts(docs_of):
     for r in pii.find(docs_of(rows)).where("doc_id >= 5000").collect():
         terms = {text[r["doc_id"]][int(s) : int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",")) if k == "term"}
         assert ("Quillfeather" if r["doc_id"] == 5000 else "Umberfield") in terms and not terms & {"the", "budget", "meeting"}
+
+
+def test_pii_terms_far_from_the_mention(docs_of):
+    fill = lambda k, n: " ".join(f"{chr(97 + k)}{chr(97 + j % 26)}x" for j in range(n))
+    rows = [(k, f"{fill(k, 20)} Zanzibari zed@mail.example.com {fill(k, 60)} ZANZIBARI {fill(k, 200)} zanzibari") for k in range(8)]
+    rows += [(100 + k, f"plain text number {k} of the corpus") for k in range(200)]
+    for r in pii.sanitise(docs_of(rows)).collect():
+        assert "zanzibari" not in r["text"].lower()
+    spans = [r["spans"].split(",") for r in pii.find(docs_of(rows)).where("doc_id < 8").collect()]
+    for (_, text), own in zip(rows, spans, strict=False):
+        assert sum(text[int(s) : int(e)].lower() == "zanzibari" for k, s, e in (x.split(":") for x in own) if k == "term") == 3
