@@ -129,3 +129,17 @@ def test_pii_terms_far_from_the_mention(docs_of):
     spans = [r["spans"].split(",") for r in pii.find(docs_of(rows)).where("doc_id < 8").collect()]
     for (_, text), own in zip(rows, spans, strict=False):
         assert sum(text[int(s) : int(e)].lower() == "zanzibari" for k, s, e in (x.split(":") for x in own) if k == "term") == 3
+
+
+def test_a_credential_among_the_words_does_not_silence_the_grammar():
+    rng = random.Random(5)
+    pick = lambda s, n: "".join(rng.choice(s) for _ in range(n)).translate(secrets._FORMAT)
+    every = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    labelled, more = ([pick(every, 32) for _ in range(n)] for n in (200, 50))
+    words = [pick("abcdefghijklmnopqrstuvwxyz", rng.randint(8, 14)) for _ in range(300)]
+    scorer = secrets.Scorer({"assign": labelled}, [*words, pick(every, 32)])
+    assert sum(scorer.score(x) > scorer.threshold for x in more) >= 45
+
+
+def test_candidates_are_as_short_as_labelled_values():
+    assert [c[:2] for c in secrets.candidates("so hunter22 or a1b2c3 or a1b2c", [])] == [(3, 11), (15, 21)]
