@@ -430,7 +430,7 @@ def explain(source: str, flags: str = "") -> list[tuple[int, int, str, str]]:
 
 
 # -- running -------------------------------------------------------------------------------------------------------------
-def run(source: str, flags: str, text: str, cap: int = CAP, timeout: float = TIMEOUT) -> tuple[list, bool]:
+def run(source: str, flags: str, text: str, cap: int | None = None, timeout: float = TIMEOUT) -> tuple[list, bool]:
     """``(matches, truncated)``; with g all matches, else the first; with y only from where the last one ended.
 
     An empty match moves on by one code point.  ``truncated`` only if a further match exists.  TimeoutError after ``timeout``."""
@@ -442,7 +442,7 @@ def run(source: str, flags: str, text: str, cap: int = CAP, timeout: float = TIM
         m = step(text, at, timeout=timeout)
         if m is None:
             break
-        if len(out) >= cap:
+        if cap is not None and len(out) >= cap:
             return out, True
         out.append(m)
         if not many:
@@ -455,9 +455,9 @@ _GROUPS = pa.list_(pa.struct([("number", pa.int32()), ("name", pa.string()), ("v
 _ROWS = "id long, status string, ordinal int, start int, end int, value string, line int, column int, groups array<struct<number:int,name:string,value:string,start:int,end:int>>"
 
 
-def matches(df: DataFrame, id_col: str, text_col: str, source: str, flags: str = "g", cap: int = CAP, timeout: float = TIMEOUT) -> DataFrame:
+def matches(df: DataFrame, id_col: str, text_col: str, source: str, flags: str = "g", cap: int | None = None, timeout: float = TIMEOUT) -> DataFrame:
     """One row per match; a text without one gives none.  A text that took too long gives one row with status ``timeout``,
-    one with further matches a last row with status ``truncated``.  A group that took no part is null, an empty one is ''."""
+    one with more than ``cap`` matches (none by default; the reference stops at ``CAP``) a last row with status ``truncated``.  A group that took no part is null, an empty one is ''."""
     p, _ = compiled(source, flags)  # errors show here, on the driver
     names = p.names
 

@@ -51,3 +51,8 @@ def test_columns(spark):
     assert [r["status"] for r in R.matches(df.where("id = 4"), "id", "t", "a", "g", cap=2).collect()] == ["match", "match", "truncated"]
     r = df.where("id = 1").select(R.count(F.col("t"), r"\d").alias("c"), R.test(F.col("t"), r"^b", "m").alias("t1"), R.test(F.col("t"), r"^b").alias("t2"), R.replace(F.col("t"), r"\d", "g", "<$&>").alias("r"), R.count(F.col("t"), r"[^\s\W]").alias("w")).first()
     assert (r["c"], r["t1"], r["t2"], r["r"]["value"], r["r"]["n"], r["w"]) == (3, True, False, "a<1>\nb<2><2>", 3, 5)
+
+
+def test_matches_are_not_capped_by_default(spark):
+    df = spark.createDataFrame([(1, "a" * 1500)], "id long, t string")
+    assert [r["status"] for r in R.matches(df, "id", "t", "a").collect()] == ["match"] * 1500
