@@ -18,14 +18,20 @@ links between texts whose five-word shingles are similar to 0.8 or more.  Such t
 one-permutation MinHash; each shard's BK-tree is searched within ``LOOK_RADIUS`` bits of the five-word fingerprints, and what
 it finds is confirmed by the share of equal MinHash values (128, standard error 0.035, accepted from ``LOOK_LEAST``).  Each
 group of linked texts in a shard has a tree of all its members; a text's search of a tree ends at the first member that
-confirms it, so a group of n copies usually costs far fewer than n^2 comparisons and no pair of groups is left unlinked.  Texts
-of shards over ``SHARD_CAP`` (a passage that very many texts share) are dealt out anew by each of ``LOOK_BLOCKS`` runs of their
-MinHash values: two texts with enough equal values to confirm agree on all values of one run at least, so no pair is dropped
-for a shard's size.  Two texts of similarity 0.8 share a band with a chance of 99.7 %.
+confirms it, so a group of n copies usually costs far fewer than n^2 comparisons and no pair of groups is left unlinked.
+
+The rule is the same for a shard of any size: two texts are linked if they share a band, lie within the radius and have
+enough equal values.  Texts of shards over ``SHARD_CAP`` (a passage that very many texts share) are dealt out anew by each of
+``LOOK_BLOCKS`` runs of their MinHash values: two texts with enough equal values agree on all values of one run at least, and
+that they share a band is then checked.  A shard that still holds more than ``LOOK_CAP`` texts is cut into chunks, and each pair
+of chunks is a shard of its own, so no task holds more and no pair is dropped.  Two texts of similarity 0.8 share a band with
+a chance of 99.7 %.
 
 *Defined cases.*  Null or empty text: fingerprint zero, linked like any other.  Repeated rows and ties: each row is
-returned, with the smallest non-null ``doc_id`` of its component (null if all are null).  Extra columns are ignored.
-An empty table gives an empty table.
+returned, with the smallest non-null ``doc_id`` of its component (null if all are null).  ``deduplicate`` drops rows, not
+ids: rows that share an id are told apart by their text, and of rows with equal id and text one stays, the one whose other
+columns sort first.  Very long texts are read whole, their shingles in blocks.  Extra columns are ignored (``near_duplicates``)
+or kept (``deduplicate``), whatever their names.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import keep, partitions, tune
@@ -49,6 +55,8 @@ SHARD_CAP, SHARD_MEAN = 512, 64
 LOOK_SHINGLE, LOOK_VALUES, LOOK_BANDS, LOOK_RADIUS, LOOK_LEAST = 5, 128, 8, 20, 0.74
 #: With so many runs of the MinHash values, one has no differing value if enough values are equal to confirm.
 LOOK_BLOCKS = LOOK_VALUES - math.ceil(LOOK_LEAST * LOOK_VALUES) + 1
+#: Texts of one shard that one task holds at most; more are cut into chunks that meet in pairs.
+LOOK_CAP = 16_384
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCK = 1 << 15
 
@@ -238,27 +246,30 @@ def links(prints: DataFrame, shard_cap: int = SHARD_CAP) -> DataFrame:
     return dealt.mapInArrow(_tree_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_cap: int = SHARD_CAP, prints: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, fp, component_id)``, one row per input row: the smallest doc_id reachable over links within the radius,
-    and over ``extra`` links ``(a, b)`` between fingerprints.  ``prints``: ``(doc_id, fp)`` where they are kept already."""
-    if prints is None:
-        prints = keep(fingerprints(docs, id_col, text_col), "prints")
-    distinct = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    own = links(distinct.select("fp"), shard_cap)
-    roots = components(own if extra is None else own.union(extra)).withColumnRenamed("node", "fp")
+def _grouped(prints: DataFrame, own: DataFrame, least) -> DataFrame:
+    """``prints`` plus ``low``: the smallest ``least`` of all rows whose fingerprints the links ``own(distinct)`` connect."""
+    distinct = keep(prints.groupBy("fp").agg(F.min(least).alias("first")), "distinct")
+    roots = components(own(distinct.select("fp"))).withColumnRenamed("node", "fp")
     rooted = keep(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    low = keep(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "low")
-    of_print = keep(rooted.join(low, "root").select("fp", "component_id"), "of_print")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    low = keep(rooted.groupBy("root").agg(F.min("first").alias("low")), "low")
+    return prints.join(keep(rooted.join(low, "root").select("fp", "low"), "of_print"), "fp")
 
 
-def _confirmed(tree: BKTree, members: list, value: int, mine: np.ndarray) -> int | None:
-    """The fingerprint of the first member within ``LOOK_RADIUS`` whose MinHash values confirm; None if there is none."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_cap: int = SHARD_CAP, extra: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, fp, component_id)``, one row per input row: the smallest doc_id reachable over links within the radius,
+    and over ``extra`` links ``(a, b)`` between fingerprints."""
+    prints = keep(fingerprints(docs, id_col, text_col), "prints")
+    own = lambda fps: links(fps, shard_cap) if extra is None else links(fps, shard_cap).union(extra)
+    return _grouped(prints, own, F.col("doc_id")).select("doc_id", "fp", F.col("low").alias("component_id"))
+
+
+def _confirmed(tree: BKTree, members: list, value: int, mine: np.ndarray, keys: frozenset) -> int | None:
+    """The fingerprint of the first member within ``LOOK_RADIUS`` that shares a band and whose MinHash values confirm."""
     stack = [0]
     while stack:
         at = stack.pop()
         d = (value ^ tree.values[at]).bit_count()
-        if d <= LOOK_RADIUS and np.count_nonzero(members[at][1] == mine) >= LOOK_LEAST * LOOK_VALUES:
+        if d <= LOOK_RADIUS and not keys.isdisjoint(members[at][2]) and np.count_nonzero(members[at][1] == mine) >= LOOK_LEAST * LOOK_VALUES:
             return members[at][0]
         edges = tree.edges[at]
         if edges:
@@ -275,14 +286,14 @@ def _look_links(batches):
             return
         groups: list[tuple[BKTree, list]] = []  # a tree and its members, in the same order
         same: dict[tuple, int] = {}
-        for fp, fp5, sig in held:
-            if (first := same.setdefault((fp5, sig), fp)) != fp:  # it links to just what the first one links to
+        for fp, fp5, sig, keys in held:
+            if (first := same.setdefault((fp5, sig, keys), fp)) != fp:  # it links to just what the first one links to
                 out.append((fp, first))
                 continue
             value, mine = fp5 & (1 << 64) - 1, np.frombuffer(sig, np.uint8)
             linked = []
             for k, (tree, members) in enumerate(groups):
-                other = _confirmed(tree, members, value, mine)
+                other = _confirmed(tree, members, value, mine, keys)
                 if other is not None:
                     linked.append(k)
                     if other != fp:
@@ -292,7 +303,7 @@ def _look_links(batches):
                 linked = [len(groups) - 1]
             into = max(linked, key=lambda k: len(groups[k][1]))
             tree, members = groups[into]
-            more = [(value, (fp, mine))]
+            more = [(value, (fp, mine, keys))]
             for k in reversed(linked):
                 if k != into:  # n members give fewer than n rows: each link but the first joins two groups
                     more += zip(groups[k][0].values, groups[k][1], strict=True)
@@ -319,7 +330,7 @@ def _look_links(batches):
                 if len(held) > 1:
                     search()
                 at, held = int(g[lo]), []
-            held += [(int(fp[k]), int(fp5[k]), b.column(3)[k].as_py()) for k in range(lo, hi)]
+            held += [(int(fp[k]), int(fp5[k]), b.column(3)[k].as_py(), frozenset(b.column(4)[k].as_py())) for k in range(lo, hi)]
         if len(out) > 10_000:
             yield ready()
     if len(held) > 1:
@@ -327,50 +338,64 @@ def _look_links(batches):
     yield ready()
 
 
-def looked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, fp5, sig, keys)``, one row per input row: both fingerprints, MinHash bytes and band keys, in one pass."""
+def looked(docs: DataFrame, row: Column | None = None, text_col: str = "text") -> DataFrame:
+    """``(row, fp, fp5, sig, keys)``, one row per input row: both fingerprints, MinHash bytes and band keys, in one pass."""
     tune(docs.sparkSession)
+    rows = docs.select((F.col("doc_id") if row is None else row).alias("row"), F.col(text_col).cast("string").alias("t"))
+    kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
             got = [look(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(fingerprint(t)) for t in texts], pa.int64()), pa.array([_signed(x[0]) for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.list_(pa.int64()))], ["doc_id", "fp", "fp5", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(fingerprint(t)) for t in texts], pa.int64()), pa.array([_signed(x[0]) for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary()), pa.array([x[2] for x in got], pa.list_(pa.int64()))], ["row", "fp", "fp5", "sig", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long, fp5 long, sig binary, keys array<long>")
+    return rows.mapInArrow(run, f"row {kind}, fp long, fp5 long, sig binary, keys array<long>")
 
 
-def look_links(rows: DataFrame, shard_cap: int = SHARD_CAP) -> DataFrame:
+def look_links(rows: DataFrame, shard_cap: int = SHARD_CAP, task_cap: int = LOOK_CAP) -> DataFrame:
     """Looked-at texts -> ``(a, b)`` links between three-word fingerprints of those that look alike."""
     spark = rows.sparkSession
-    seen = rows.where(F.size("keys") > 0)
-    looks = keep(seen.groupBy("fp", "fp5", "sig").agg(F.first("keys").alias("keys")), "looks")
-    rows = looks.select("*", F.posexplode("keys").alias("band", "key")).withColumn("g", F.xxhash64("band", "key"))
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    sizes = keep(sizes, "sizes")  # only shards with company are dealt out
-    several = rows.join(sizes, "g")
-    cold = several.where(F.col("size") <= shard_cap).select("g", "fp", "fp5", "sig")
-    hot = several.where(F.col("size") > shard_cap).select("fp", "fp5", "sig").distinct()
-    runs = [(int(part[0]) + 1, len(part)) for part in np.array_split(np.arange(LOOK_VALUES), LOOK_BLOCKS)]
-    finer = hot.select("fp", "fp5", "sig", F.posexplode(F.array(*[F.substring("sig", at, n) for at, n in runs])).alias("run", "part"))
-    finer = finer.select(F.xxhash64(F.lit("run"), "run", "part").alias("g"), "fp", "fp5", "sig")
-    dealt = cold.union(finer).repartition(partitions(spark), "g").sortWithinPartitions("g", "fp")
-    return dealt.mapInArrow(_look_links, "a long, b long")
+    looks = keep(rows.where(F.size("keys") > 0).groupBy("fp", "fp5", "sig", "keys").agg(F.count(F.lit(1)).alias("n")).drop("n"), "looks")
+    banded = looks.select("*", F.posexplode("keys").alias("band", "key")).withColumn("g", F.xxhash64("band", "key"))
+    sizes = keep(banded.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "sizes")
+    columns = ["g", "fp", "fp5", "sig", "keys"]
+    several = banded.join(sizes, "g")  # only shards with company are dealt out
+    dealt = several.where(F.col("size") <= shard_cap).select(columns)
+    if not sizes.where(F.col("size") > shard_cap).isEmpty():
+        hot = keep(several.where(F.col("size") > shard_cap).select(columns[1:]).distinct(), "hot-looks")
+        runs = [(int(part[0]) + 1, len(part)) for part in np.array_split(np.arange(LOOK_VALUES), LOOK_BLOCKS)]
+        finer = hot.select("*", F.posexplode(F.array(*[F.substring("sig", at, n) for at, n in runs])).alias("run", "part"))
+        finer = finer.select(F.xxhash64(F.lit("run"), "run", "part").alias("g"), *columns[1:])
+        sizes = keep(finer.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "run-sizes")
+        finer = finer.join(sizes, "g")
+        dealt = dealt.union(finer.where(F.col("size") <= task_cap).select(columns))
+        # chunks of half a task's texts, by hash; chunk c meets every chunk, itself in the pairs with others
+        chunks = F.ceil(F.col("size") * 2 / F.lit(task_cap)).cast("int") + 1
+        mine = finer.where(F.col("size") > task_cap).withColumn("m", chunks).withColumn("c", F.pmod(F.xxhash64(F.lit("chunk"), "fp", "sig"), F.col("m")))
+        mine = mine.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda x: x != F.col("c"))))
+        dealt = dealt.union(mine.select(F.xxhash64(F.lit("pair"), "g", F.least("c", "other"), F.greatest("c", "other")).alias("g"), *columns[1:]))
+    return dealt.repartition(partitions(spark), "g").sortWithinPartitions("g", "fp").mapInArrow(_look_links, "a long, b long")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lookalikes: bool = True) -> DataFrame:
-    """``docs`` with one document of each group of near copies left: the one with the smallest id.
-
-    Rows without an id cannot be told apart by it and stay; of rows that repeat an id and are near copies, one stays."""
-    if lookalikes:
-        rows = keep(looked(docs, id_col, text_col), "looked")
-        found = near_duplicates(docs, id_col, text_col, prints=rows.select("doc_id", "fp"), extra=look_links(rows))
-    else:
-        found = near_duplicates(docs, id_col, text_col)
-    gone = keep(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    stay = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
-    twice = keep(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
+    """``docs`` with one row of each group of near copies left: the one with the smallest id (rows without one come last).
+
+    A row is named by its id and an MD5 of its text; rows that share the name are exact copies, of which one stays."""
+    text = F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8"))
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), text.isNull().alias("void"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = keep(looked(docs, name, text_col), "looked")
+    look = (lambda fps: links(fps).union(look_links(rows))) if lookalikes else links
+    found = keep(_grouped(rows.select("row", "fp"), look, F.col("row")).select("row", "low"), "found")
+    gone = keep(found.where("row != low").select(F.xxhash64("row").alias("h"), "row").distinct(), "gone")
+    twice = keep(found.where("row = low").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("row").alias("h"), "row"), "twice")
+    named = docs.select("*", name.alias("__sp_row")).withColumn("__sp_h", F.xxhash64("__sp_row"))
+    at = lambda few: (F.col("__sp_h") == few["h"]) & (F.col("__sp_row") == few["row"])
+    stay = named.join(gone, at(gone), "left_anti")
     if twice.isEmpty():
-        return stay
-    extra = stay.join(twice, stay[id_col] == twice["doc_id"], "left_semi").dropDuplicates([id_col])
-    return stay.join(twice, stay[id_col] == twice["doc_id"], "left_anti").unionByName(extra)
+        return stay.select(*docs.columns)
+    alone = stay.join(twice, at(twice), "left_anti").select(*docs.columns)
+    # copies under one name: all columns but the text, as one string, decide which stays; the minimum is partially aggregated
+    rest = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text_col]))
+    one = stay.join(twice, at(twice), "left_semi").groupBy("__sp_h", "__sp_row").agg(F.min_by(F.struct(*docs.columns), rest).alias("one"))
+    return alone.unionByName(one.select("one.*"))

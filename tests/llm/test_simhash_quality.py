@@ -89,7 +89,8 @@ def test_near_duplicates_and_deduplicate(spark, docs_of):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs_of(rows)).collect()}
     assert {(5, 3), (3, 3), (9, 3), (None, 3), (1, 1), (4, 1), (2, 1), (8, 8)} == got
     kept = sorted((r["doc_id"] is None, r["doc_id"]) for r in simhash.deduplicate(docs_of(rows)).collect())
-    assert kept == [(False, 1), (False, 3), (False, 8), (True, None)]
+    assert kept == [(False, 1), (False, 3), (False, 8)]  # a row without an id is the last of its group to stay
+    assert simhash.deduplicate(docs_of([(None, body), (None, body + " tail")])).count() == 1
     assert simhash.deduplicate(docs_of(rows)).columns == docs_of(rows).columns
     assert simhash.near_duplicates(docs_of([])).collect() == []
 
@@ -205,7 +206,7 @@ def signature(differs):
 
 def test_a_linked_text_still_links_later_ones():
     held = [(1, 0, signature(range(25))), (2, 0, signature([])), (3, 0, signature(range(40, 65))), (4, 0, signature(range(128)))]
-    batch = pa.RecordBatch.from_arrays([pa.array([7] * 4), *[pa.array(c, k) for c, k in zip(zip(*held, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)]], ["g", "fp", "fp5", "sig"])
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 4), *[pa.array(c, k) for c, k in zip(zip(*held, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)], pa.array([[1]] * len(held))], ["g", "fp", "fp5", "sig", "keys"])
     links = {frozenset((r["a"], r["b"])) for out in simhash._look_links([batch]) for r in out.to_pylist()}
     assert links == {frozenset((1, 2)), frozenset((2, 3))}  # 1 and 3 are alike only through 2
 
@@ -216,7 +217,7 @@ def test_shards_link_just_what_all_pairs_link():
     for k in range(120):
         base = [(k % 4) * 30 + j for j in range(28)]
         held.append((k, rng.getrandbits(6), signature(rng.sample(base, rng.randint(6, 26)))))
-    batch = pa.RecordBatch.from_arrays([pa.array([7] * 120), *[pa.array(c, k) for c, k in zip(zip(*held, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)]], ["g", "fp", "fp5", "sig"])
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 120), *[pa.array(c, k) for c, k in zip(zip(*held, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)], pa.array([[1]] * len(held))], ["g", "fp", "fp5", "sig", "keys"])
 
     def groups(links):
         root = {h[0]: h[0] for h in held}
@@ -240,6 +241,40 @@ def test_hot_shards_drop_no_pair_that_shares_one_band(spark):
     for k, differ in enumerate(pairs):  # as many values differ as may, wherever they are
         rows.append((100 + k, 0, bytearray(v ^ (j in differ) for j, v in enumerate(rows[k][2])), keys(100 + k)))
     df = spark.createDataFrame([(k, k, f, bytes(sig), own) for k, f, sig, own in rows], "doc_id long, fp long, fp5 long, sig binary, keys array<long>")
-    for cap in (simhash.SHARD_CAP, 8):
-        found = {frozenset((r["a"], r["b"])) for r in simhash.look_links(df, shard_cap=cap).collect()}
+    for cap, most in ((simhash.SHARD_CAP, simhash.LOOK_CAP), (8, simhash.LOOK_CAP), (8, 4)):
+        found = {frozenset((r["a"], r["b"])) for r in simhash.look_links(df, shard_cap=cap, task_cap=most).collect()}
         assert found == {frozenset((k, 100 + k)) for k in range(len(pairs))}
+
+
+def test_one_rule_links_at_every_shard_size(spark):
+    """Alike by MinHash alone is not enough: texts without a common band stay apart, in cold, hot and cut shards."""
+    rng = random.Random(16)
+    rows = []
+    for k in range(40):
+        sig = bytearray(signature(rng.sample(range(60), rng.randint(4, 30))))
+        rows.append((k, rng.getrandbits(8), bytes(sig), sorted(rng.sample(range(12), simhash.LOOK_BANDS // 2))))
+    df = spark.createDataFrame([(k, k, f, sig, [(b << 8) + j for j, b in enumerate(own)]) for k, f, sig, own in rows], "row long, fp long, fp5 long, sig binary, keys array<long>")
+    keyed = {r["fp"]: {(j, x) for j, x in enumerate(r["keys"])} for r in df.collect()}
+    alike = lambda a, b: bool(keyed[a[0]] & keyed[b[0]]) and (a[1] ^ b[1]).bit_count() <= simhash.LOOK_RADIUS and sum(x == y for x, y in zip(a[2], b[2], strict=True)) >= simhash.LOOK_LEAST * simhash.LOOK_VALUES
+    want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[:i] if alike(a, b)}
+
+    def groups(links):
+        root = {r[0]: r[0] for r in rows}
+        for a, b in links:
+            old, new = root[a], root[b]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    assert want
+    for cap, most in ((simhash.SHARD_CAP, simhash.LOOK_CAP), (3, simhash.LOOK_CAP), (3, 4)):
+        assert groups((r["a"], r["b"]) for r in simhash.look_links(df, shard_cap=cap, task_cap=most).collect()) == groups(want)
+
+
+def test_rows_are_dropped_and_not_ids(docs_of):
+    body = " ".join(f"word{k} and{k}" for k in range(400))
+    other, third = " ".join(f"other{k} than{k}" for k in range(300)), " ".join(f"third{k} text{k}" for k in range(300))
+    stay = lambda rows: sorted((r["doc_id"], r["text"], r["source"]) for r in simhash.deduplicate(docs_of(rows)).collect())
+    assert stay([(8, body), (8, other), (9, third)]) == sorted([(8, body, "s"), (8, other, "s"), (9, third, "s")])
+    assert stay([(3, body), (8, body), (8, other)]) == [(3, body, "s"), (8, other, "s")]
+    assert stay([(8, body, "en", "z"), (8, body, "en", "a"), (8, body, "en", "m")]) == [(8, body, "a")]
+    assert [r["doc_id"] for r in simhash.deduplicate(docs_of([(7, None), (7, None), (7, "")])).collect()] == [7]
