@@ -8,10 +8,13 @@ of distinct contexts (copies of one passage count once), a term's frequency its
 entity e by term t is PMI(t, e) / IC(e) = 1 + log2 p(e|t) / IC(e): 1 where the term reveals the entity for certain.  Every
 co-occurring pair is scored; p(e|t) is the lower end of its confidence interval (Wilson, one-sided 95 %), so little evidence
 counts for less.  Pairs with a disclosure of ``GENERALISE`` or more become spans of kind ``term``: generalised to their class
-of word, or removed from ``REMOVE`` on, wherever they stand in a text that mentions the entity.  Term frequencies are counted in blocks of ``BLOCK`` candidate terms, so
-what is sent to the executors is bounded and nothing is left out.
+of word, or removed from ``REMOVE`` on, wherever they stand in a text that mentions the entity.  Term frequencies are counted
+in one pass over all texts, whatever the number of candidate terms: a Bloom filter of at most ``BLOOM_BITS`` bits spares the
+counting of most other words, and a join drops the rest, so the filter changes no result.
 
-*Defined cases.*  Null or empty text: no spans; sanitised text stays as it is.  Offsets are code points, ends exclusive.
+*Defined cases.*  Null or empty text: no spans; sanitised text stays as it is.  Very long texts are read whole, in time in
+proportion to their length, and a context is ``WINDOW`` whole words however long they are.  Offsets are code points, ends
+exclusive.
 Null ids, ties and repeated rows: one result row per input row.  Extra columns are ignored (``find``) or kept
 (``sanitise``).  An empty table gives an empty table.
 """
@@ -20,15 +23,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import keep, tune
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-WINDOW, Z, GENERALISE, REMOVE, BLOCK = 8, 1.645, 0.8, 0.95, 200_000
+WINDOW, Z, GENERALISE, REMOVE = 8, 1.645, 0.8, 0.95
+#: Bits of the filter that is sent to the executors (2 MB), and words that a Python worker remembers to be in it or not.
+BLOOM_BITS, MEMO = 1 << 24, 500_000
 _IS_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only begin at the start of a run of digits, and runs are taken whole
@@ -36,6 +44,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]")
+#: Every text with a base span has this, most others have not.
+_MAY = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){15}|\+[0-9][ ().0-9-]"
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -84,17 +94,25 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{re.sub('[^0-9]', '', value)}"
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Each mention's entity, a hash of its context, and the terms around it."""
+def _outside(text: str, spans: list[tuple[str, int, int]]):
+    """Words that touch no base span, in order."""
     inside = sorted((s, e) for _, s, e in spans)
-    out = []
+    k = last = 0
+    for m in _TERM.finditer(text):
+        while k < len(inside) and inside[k][0] < m.end():  # ``last`` is how far spans that begin before the word's end reach
+            last, k = max(last, inside[k][1]), k + 1
+        if last <= m.start():
+            yield m
+
+
+def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """Each mention's entity, a hash of its context, and the terms around it: ``WINDOW`` whole words on either side."""
+    words = list(_outside(text, spans))
+    start, out = [m.start() for m in words], []
     for kind, s, e in spans:
-        left = list(_TERM.finditer(text, max(0, s - 40 * WINDOW), s))[-WINDOW:]
-        right = list(_TERM.finditer(text, e, min(len(text), e + 40 * WINDOW)))[:WINDOW]
-        terms = [m for m in left + right if not any(a < m.end() and m.start() < z for a, z in inside)]
-        words = [m[0].lower() for m in terms]
-        context = int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "big", signed=True)
-        out.append({"entity": entity(kind, text[s:e]), "context": context, "terms": words})
+        near = [m[0].lower() for m in words[max(0, bisect_left(start, s) - WINDOW) : bisect_left(start, e) + WINDOW]]
+        context = int.from_bytes(hashlib.blake2b(" ".join(near).encode(), digest_size=8).digest(), "big", signed=True)
+        out.append({"entity": entity(kind, text[s:e]), "context": context, "terms": near})
     return out
 
 
@@ -122,29 +140,59 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, _SCAN)
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``(term, df)``: documents that have each of the given distinct terms, counted over all whole texts.
+def bloom(terms: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of the distinct ``term`` values, three bits each; built in partial aggregates of at most bits / 64 rows."""
+    h = F.xxhash64("term")
+    at = [F.pmod(F.shiftrightunsigned(h, k), F.lit(bits)) for k in _SHIFTS]
+    rows = terms.select(F.explode(F.array(*at)).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+    out = np.zeros(bits >> 6, np.int64)
+    for r in rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+        out[r["word"]] = r["mask"]
+    return out.view(np.uint64)
+
+
+_SHIFTS = (0, 20, 40)
+
+
+class Wanted:
+    """Which words the filter lets pass; a worker remembers what it has looked up."""
 
-    The terms go out in blocks of at most ``block``; each block reads the texts once."""
-    spark = docs.sparkSession
-    n = terms.count()
-    blocks = max(1, -(-2 * n // block))  # by hash, so aim at half a block
-    out = None
-    for k in range(blocks):
-        wanted = frozenset(r["term"] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).toLocalIterator())
+    def __init__(self, filter: np.ndarray) -> None:
+        self.filter, self.known, self.passing = filter, set(), set()
 
-        def run(batches, wanted=wanted):
-            for b in batches:
-                seen: dict[str, int] = {}
-                for t in b.column(0).to_pylist():
-                    for w in wanted.intersection(_TERM.findall((t or "").lower())):
-                        seen[w] = seen.get(w, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "df"])
+    def __reduce__(self):
+        return Wanted, (self.filter,)
 
-        counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        counted = keep(counted, "df")
-        out = counted if out is None else out.union(counted)
-    return out if out is not None else spark.createDataFrame([], "term string, df long")
+    def of(self, words: set[str]) -> set[str]:
+        new = words - self.known
+        if new:
+            if len(self.known) > MEMO:
+                self.known, self.passing = set(), set()
+                new = words
+            self.known |= new
+            bits = len(self.filter) << 6
+            for w in new:
+                h = xxhash.xxh64_intdigest(w.encode(), 42)  # what the JVM's xxhash64 gives
+                if all(int(self.filter[(x := (h >> k) % bits) >> 6]) >> (x & 63) & 1 for k in _SHIFTS):
+                    self.passing.add(w)
+        return self.passing & words
+
+
+def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text", bits: int = BLOOM_BITS) -> DataFrame:
+    """``(term, df)``: documents that have each of the given distinct terms, counted over all whole texts in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(Wanted(bloom(terms, bits)))
+
+    def run(batches):
+        wanted = shared.value
+        for b in batches:
+            seen: dict[str, int] = {}
+            for t in b.column(0).to_pylist():
+                for w in wanted.of(set(_TERM.findall((t or "").lower()))):
+                    seen[w] = seen.get(w, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "df"])
+
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return terms.join(keep(counted, "df"), "term")
 
 
 def _surely(k: Column, n: Column) -> Column:
@@ -176,16 +224,7 @@ def disclosures(texts: DataFrame, docs: DataFrame, text_col: str = "text", least
 def occurrences(text: str, wanted: list[dict]) -> list[dict]:
     """``start, end, d`` of every place in the whole text where one of the terms stands outside base spans."""
     value = {w["term"]: w["d"] for w in wanted}
-    inside = sorted((s, e) for _, s, e in base_spans(text))
-    out, k = [], 0
-    for m in _TERM.finditer(text):
-        d = value.get(m[0].lower())
-        if d is not None:
-            while k < len(inside) and inside[k][1] <= m.start():
-                k += 1
-            if not any(a < m.end() and m.start() < z for a, z in inside[k:]):
-                out.append({"start": m.start(), "end": m.end(), "d": d})
-    return out
+    return [{"start": m.start(), "end": m.end(), "d": value[w]} for m in _outside(text, base_spans(text)) if (w := m[0].lower()) in value]
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("d", pa.float64())]))
@@ -240,12 +279,17 @@ def clean(text: str | None, terms: list[dict] | None) -> str | None:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with sanitised texts, same columns and rows.  Only texts with revealing terms are joined to them."""
+    """``docs`` with sanitised texts, same columns and rows.  Only texts that may have a base span can have revealing terms,
+    so only they are joined; the others are not shuffled, however many terms there are."""
     _, terms = _detect(docs, id_col, text_col)
     cols = docs.columns
-    plain = docs.withColumn("__sp_key", F.md5(F.encode(F.col(text_col), "UTF-8")))
-    joined = plain.withColumn("__sp_t", F.lit(None).cast(terms.schema["terms"].dataType)) if terms.isEmpty() else plain.join(terms.select(F.col("text_key").alias("__sp_key"), F.col("terms").alias("__sp_t")), "__sp_key", "left")
-    joined = joined.select(*cols, "__sp_t")
+    none = F.lit(None).cast(terms.schema["terms"].dataType).alias("__sp_t")
+    may = F.coalesce(F.col(text_col).cast("string").rlike(_MAY), F.lit(False))
+    if terms.isEmpty():
+        joined = docs.select("*", none)
+    else:
+        keyed = docs.where(may).withColumn("__sp_key", F.md5(F.encode(F.col(text_col), "UTF-8")))
+        joined = keyed.join(terms.select(F.col("text_key").alias("__sp_key"), F.col("terms").alias("__sp_t")), "__sp_key", "left").select(*cols, "__sp_t").union(docs.where(~may).select("*", none))
     at, schema = cols.index(text_col), docs.schema
 
     def run(batches):
