@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,22 +40,72 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Scratch folders made inside the ``temporary`` blocks that are open, innermost last; the first list has all others.
+_MADE: list[list[str]] = [[]]
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to shared scratch space and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    _MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``keep`` made, once nothing reads them any more."""
-    spark = df.sparkSession
+@contextmanager
+def temporary(spark: SparkSession):
+    """Scratch tables that are kept inside the block are deleted at its end, but for one whose frame the block ``lasts``:
+    ``with temporary(spark) as lasts: return lasts(keep(...))``.  Nothing lazy that reads the others may leave the block."""
+    own: list[str] = []
+    _MADE.append(own)
+
+    def lasts(df: DataFrame) -> DataFrame:
+        _MADE[-2].append(own.pop())
+        return df
+
+    try:
+        yield lasts
+    finally:
+        _MADE.remove(own)
+        _delete(spark, own)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every scratch table this process has made and not deleted yet: for the end of a job, when all results are written."""
+    for own in _MADE:
+        _delete(spark, own)
+        own.clear()
+
+
+def _delete(spark: SparkSession, folders) -> None:
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a frame that ``keep`` made, once nothing reads them any more."""
+    _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+@contextmanager
+def ranges(spark: SparkSession, file: str):
+    """``read(offset, length)`` over one open file, on any file system that Spark knows."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(path)
+
+    def read(offset: int, length: int) -> bytes:
+        stream.seek(offset)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+
+    try:
+        yield read
+    finally:
+        stream.close()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,12 +5,13 @@ documents is no reason to leave it out, for the grams of an item that leaked oft
 over all whole documents finds the seeds; where ``MIN_SEEDS`` of one item lie close together, the passage around them and
 the item are aligned (match +2, mismatch -1, gap -1).  A passage whose score reaches ``SCORE`` of a perfect one is a leak, be
 it copied or edited.  Common seeds bring up many passages that are none; ``bound`` spares their alignment where no alignment
-can reach ``SCORE``, so it changes no result.  The benchmark is sent to the executors in blocks of at most ``BLOCK`` items;
-each block reads the documents anew, so nothing is left out however many items there are.
+can reach ``SCORE``, so it changes no result.  The benchmark is sent to the executors in blocks of about ``BLOCK`` words, dealt
+by a hash; each block reads the documents anew, so nothing is left out however many items there are.  An item longer than
+that is a block's only large one.
 
 *Defined cases.*  Null or empty documents and items: no leak; an item of fewer than three words is sought by its whole word
-sequence.  Null ids, ties and repeated rows: one row for each document row and item.  Extra columns are ignored (``find``)
-or kept (``decontaminate``).  Empty tables give an empty result (``find``) or all documents (``decontaminate``).
+sequence, through an index of its own.  Very long documents are read whole.  Null ids, ties and repeated rows: one row for each document row and item.  Extra columns are ignored (``find``)
+or kept (``decontaminate``), whatever their names.  Empty tables give an empty result (``find``) or all documents (``decontaminate``).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._shared import tune
 
-N, MIN_SEEDS, SCORE, BLOCK = 3, 2, 0.5, 20_000
+N, MIN_SEEDS, SCORE, BLOCK = 3, 2, 0.5, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"[^\W_]+")
 
@@ -65,77 +66,94 @@ def bound(words: np.ndarray, b: np.ndarray) -> int:
     return int((run - np.minimum.accumulate(run)).max())
 
 
+def _codes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit value of each run of ``n`` word numbers.  Were two runs ever to share one, an alignment would tell them apart."""
+    out = np.full(max(0, len(ids) - n + 1), n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = (out ^ ids[j : len(ids) - n + 1 + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
 class Benchmark:
-    """A block of test items: word numbers, and every 3-gram with the items that have it."""
+    """A block of test items: word numbers, and for each length of seed the sorted seeds with the items that have them."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
-        self.grams: dict[tuple, int] = {}
-        self.of_item: list[list[int]] = []
         self.words: list[np.ndarray] = []
+        self.need: list[int] = []
+        seeds: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            if ids:
-                self.items.append((k, np.array(ids, np.int64)))
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], np.int64)
+            if len(ids):
+                codes = np.unique(_codes(ids, min(N, len(ids))))
+                seeds.setdefault(min(N, len(ids)), []).append((codes, len(self.items)))
+                self.need.append(min(MIN_SEEDS, len(codes)))
+                self.items.append((k, ids))
                 self.words.append(np.unique(ids))
-                grams = [tuple(ids[i : i + N]) for i in range(max(1, len(ids) - N + 1))]
-                self.of_item.append(sorted({self.grams.setdefault(g, len(self.grams)) for g in grams}))
-        self.short = any(len(g) < N for g in self.grams)
-        self.first = np.zeros(len(self.vocabulary) + 1, bool)  # the last place: a word of no item
-        self.second = self.first.copy()
-        for g in self.grams:
-            self.first[g[0]] = True
-            self.second[g[-1]] = True
-        self.seeds: dict[int, list[int]] = {}
-        for k, own in enumerate(self.of_item):
-            for g in own:
-                self.seeds.setdefault(g, []).append(k)
+        self.index = []  # per length: sorted seeds, where the items of each begin, items
+        for n, own in sorted(seeds.items()):
+            code = np.concatenate([c for c, _ in own])
+            item = np.repeat([i for _, i in own], [len(c) for c, _ in own])
+            order = np.argsort(code, kind="stable")
+            known, first = np.unique(code[order], return_index=True)
+            self.index.append((n, known, np.append(first, len(code)), item[order]))
 
     def ids(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in words(text)], np.int64)
 
-    def hits(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """``(gram, place)`` of every benchmark 3-gram in a document."""
-        out = []
-        if len(ids) >= N:
-            known = ids >= 0
-            for i in np.flatnonzero(known[:-2] & known[1:-1] & known[2:] & self.first[ids[:-2]] & self.second[ids[2:]]).tolist():
-                g = self.grams.get((int(ids[i]), int(ids[i + 1]), int(ids[i + 2])))
-                if g is not None:
-                    out.append((g, i))
-        if self.short:
-            for g, k in self.grams.items():
-                if len(g) < N:
-                    same = np.ones(max(0, len(ids) - len(g) + 1), bool)
-                    for j, x in enumerate(g):
-                        same &= ids[j : len(ids) - len(g) + 1 + j] == x
-                    out += [(k, i) for i in np.flatnonzero(same).tolist()]
-        return out
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(item, place, seed)`` of every seed in a document, by item, then place.  Items with too few hits are left out."""
+        found = []
+        for n, known, first, item in self.index:
+            if len(ids) < n:
+                continue
+            run = np.ones(len(ids) - n + 1, bool)
+            for j in range(n):
+                run &= ids[j : len(ids) - n + 1 + j] >= 0
+            place = np.flatnonzero(run)
+            if not len(place):
+                continue
+            code = _codes(ids, n)[place]
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            same = known[at] == code
+            place, at = place[same], at[same]
+            count = first[at + 1] - first[at]
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found.append((item[np.repeat(first[at], count) + step], np.repeat(place, count), np.repeat(code[same], count)))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        item, place, seed = (np.concatenate(x) for x in zip(*found, strict=True))
+        enough = np.bincount(item, minlength=len(self.items)) >= np.array(self.need)
+        item, place, seed = (x[enough[item]] for x in (item, place, seed))
+        order = np.lexsort((place, item))
+        return item[order], place[order], seed[order]
 
     def leaks(self, text: str | None) -> list[tuple[int, float, int, int, int, int]]:
         """``(item, share of a perfect score, seeds, aligned words, first word, last word + 1)`` of each item that leaked."""
         ids = self.ids(text)
-        places: dict[int, list[tuple[int, int]]] = {}
-        for g, i in self.hits(ids):
-            for k in self.seeds[g]:
-                places.setdefault(k, []).append((i, g))
+        item_of, place, seed = self.hits(ids)
         out = []
-        for k, at in places.items():
+        cut = np.flatnonzero(np.diff(item_of)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(item_of)], strict=True):
+            if lo == hi:
+                continue
+            k = int(item_of[lo])
             item = self.items[k][1]
-            need, reach, best = min(MIN_SEEDS, len(self.of_item[k])), 2 * len(item), None
-            at.sort()
+            need, reach, best = self.need[k], 2 * len(item), None
             cluster: list[tuple[int, int]] = []
-            for i, g in [*at, (1 << 60, -1)]:
+            for i, g in [*zip(place[lo:hi].tolist(), seed[lo:hi].tolist(), strict=True), (1 << 60, -1)]:
                 if cluster and i - cluster[-1][0] > reach:
                     if len({x for _, x in cluster}) >= need:
-                        lo, hi = max(0, cluster[0][0] - len(item)), cluster[-1][0] + N + len(item)
-                        if bound(self.words[k], ids[lo:hi]) >= SCORE * MATCH * len(item):
-                            score, s, e = align(item, ids[lo:hi])
+                        a, z = max(0, cluster[0][0] - len(item)), cluster[-1][0] + N + len(item)
+                        if bound(self.words[k], ids[a:z]) >= SCORE * MATCH * len(item):
+                            score, s, e = align(item, ids[a:z])
                             share = score / (MATCH * len(item))
                             if best is None or share > best[1]:
-                                best = (self.items[k][0], share, len({x for _, x in cluster}), e - s, lo + s, lo + e)
+                                best = (self.items[k][0], share, len({x for _, x in cluster}), e - s, a + s, a + e)
                     cluster = []
                 cluster.append((i, g))
             if best and best[1] >= SCORE:
@@ -144,12 +162,14 @@ class Benchmark:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
-    """Blocks of at most about ``block`` items, dealt by a hash; the driver holds one block at a time."""
-    n = benchmark.count()
-    parts = max(1, -(-n // block))
-    for k in range(parts):
-        own = benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(parts)) == k).where(F.col(text_col).isNotNull())
-        yield Benchmark([(r[0], r[1]) for r in own.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).collect()])
+    """Blocks of about ``block`` words, dealt by a hash; the driver holds one block at a time."""
+    own = benchmark.select(F.col(item_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
+    n = own.agg(F.sum(F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
+    parts = max(1, -(-2 * n // block))  # by hash, so aim at half a block
+    for part in range(parts):
+        rows = own.where(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == part).collect()
+        if rows or parts == 1:
+            yield Benchmark([(r["k"], r["t"]) for r in rows])
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, block: int):

@@ -5,9 +5,10 @@ one-versus-rest linear SVMs; within a family each pair of languages has a linear
 are trained here with averaged stochastic subgradient steps (Pegasos, Shalev-Shwartz et al., 2007) on a bounded sample of
 about ``SAMPLE`` labelled documents of each language, chosen by a hash of the id; every document is predicted.
 
-*Defined cases.*  Null text, or text without a letter: ``und`` with score 0.  Null language: never learned from.  Null id:
+*Defined cases.*  Null text, or text without a letter (Unicode category L): ``und`` with score 0.  Very long texts are read
+whole, their trigrams in blocks.  Null language: never learned from.  Null id:
 counts as held out.  Nothing to learn from: ``und`` everywhere.  Ties and repeated rows: one result row per input row.
-Extra columns are ignored.  An empty table gives an empty table.
+Extra columns are ignored, whatever their names.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ from ._shared import tune
 SAMPLE, MAX_BITS, MIN_BITS, SCALE, EPOCHS, LAMBDA = 600, 16, 10, 60.0, 12, 1e-4
 #: Bytes of all weights, which are broadcast: more classifiers share fewer features each.
 MODEL_BYTES = 64 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of Unicode category L; number signs such as a half or a Roman eight are none.
+_LETTER = regex.compile(r"\p{L}")
 #: Languages (ISO 639-1) of some families; a language outside them is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af yi lb fy",

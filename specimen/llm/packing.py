@@ -7,8 +7,12 @@ k, and the Fekete-Schepers functions.  Where both agree the part is certified op
 their exactly full bins and exchange the documents of all others: these are dealt out anew, to fewer parts, and packed
 again, for ``ROUNDS`` rounds at most.  A part is bounded in rows at any size of the corpus.
 
+The certificate is part of the result: ``gap`` is the number of bins of the piece's part above its lower bound, when the bin
+was settled; 0 means that the part is proved optimal, and a bin that is exactly full wastes nothing whatever its part's gap
+(``full``).  ``certificate`` holds the corpus as a whole against its own lower bound.
+
 *Defined cases.*  Null or empty text: one piece that holds the end id.  Null ids, ties and repeated rows: every row is
-packed.  Very long texts are cut, never shortened.  Extra columns are ignored.  An empty table gives an empty table.
+packed.  Very long texts are cut into pieces, never shortened.  Extra columns are ignored.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from .encode import default_path, encoder, groups
 
 CAPACITY, END_ID, PART_ROWS, ROUNDS = 4096, 1, 16384, 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = f"{_PIECES}, uid long, part long, bin long, offset long, settled boolean, gap long"
+_PACKED = f"{_PIECES}, uid long, part long, bin long, offset long, settled boolean, gap long, full boolean"
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, mode: str = "drop", end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
@@ -54,9 +58,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
     """The largest bin count that any of the dual feasible functions proves necessary."""
-    if not len(sizes):
+    return lower_bound_of(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def lower_bound_of(n: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The same from the number of pieces of each length."""
+    if not n.any():
         return 0
-    n = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1)
     upto, sums = np.cumsum(n), np.cumsum(n * x)
     k = np.arange(0, capacity // 2 + 1)
@@ -97,7 +105,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``."""
+    """Pieces with ``sequence_id`` and ``offset``, and the certificate: the ``gap`` of their part, and whether their bin is ``full``."""
     at = keep(rows.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     done, columns = None, [x.split()[0] for x in _PACKED.split(", ")]
     for turn in range(rounds):
@@ -112,12 +120,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
             where, offset, bins = best_fit_decreasing(sizes, capacity)
             gap = bins - lower_bound(sizes, capacity)
             full = np.bincount(where, sizes, minlength=bins)[where] == capacity
-            return pdf.assign(bin=where, offset=offset, settled=full | (gap == 0) | last, gap=gap)[columns]
+            return pdf.assign(bin=where, offset=offset, settled=full | (gap == 0) | last, gap=gap, full=full)[columns]
 
         dealt = at.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)))
         packed = keep(dealt.groupBy("part").applyInPandas(fit, _PACKED), "packed")
         named = packed.where("settled").withColumn("sequence_id", F.lit(turn << 56) + F.col("part") * (1 << 24) + F.col("bin"))
-        named = named.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+        named = named.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap", "full")
         done = named if done is None else done.union(named)
         at = packed.where("not settled").select("doc_id", "piece", "start", "length", "ids_crc32", "uid")
     return done
@@ -125,5 +133,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
 
 def corpus_lower_bound(rows: DataFrame, capacity: int = CAPACITY) -> int:
     """The bound for the corpus as a whole, from its histogram of piece lengths (at most ``capacity`` rows)."""
-    seen = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count(F.lit(1))).collect()}
-    return lower_bound(np.repeat(np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))), capacity)
+    n = np.zeros(capacity + 1, np.int64)
+    for r in rows.groupBy("length").agg(F.count(F.lit(1))).collect():
+        n[r[0]] = r[1]
+    return lower_bound_of(n, capacity)
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """``(sequences, lower bound)`` of a packed corpus: the first can be at most their difference above the best there is."""
+    return packed.select("sequence_id").distinct().count(), corpus_lower_bound(packed, capacity)

@@ -3,9 +3,10 @@
 Everything is DataFrame expressions.  One scan measures each whole text; the sketches are logarithmic-bucket histograms
 (DDSketch, Masson et al., 2019): bucket counts add up, so they merge by a partially aggregated count at any level, do not
 depend on the order of merging and have a relative error of 1 %.  The sketches of (language, source) merge into those of
-the language and of the corpus, which stand in where a group has fewer than ``MIN_GROUP`` documents.
+the language and of the corpus.  A group's fence is drawn towards its language's by ``PRIOR`` documents, and the language's
+towards the corpus's: with n documents its own fence weighs n / (n + PRIOR), so no group changes its fence at a stroke.
 
-A document is rejected if a measure lies above the fence ``max(slack, q50 + REACH * (q75 - q50))`` of its group, or if the
+A document is rejected if a measure lies above its group's fence, each ``max(slack, q50 + REACH * (q75 - q50))``, or if the
 fixed base rule rejects it (fewer than 50 words, or more than half of its words in repeated 3-word windows).  The slack
 keeps groups whose quantiles are all zero from rejecting ordinary documents.
 
@@ -23,8 +24,8 @@ from ._shared import keep
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Sketch accuracy, smallest group with thresholds of its own, and how far above the quartile the fence stands.
-ACCURACY, MIN_GROUP, REACH = 0.01, 50, 8.0
+#: Sketch accuracy, documents by which a parent's fence weighs, and how far above the quartile the fence stands.
+ACCURACY, PRIOR, REACH = 0.01, 50, 8.0
 #: Measures and the slack of each: no fence lies below it.
 SLACK = {"symbols_per_char": 0.06, "dup_lines_share": 0.5, "repeat_share": 0.4, "bangs_per_word": 0.3, "bars_per_word": 0.2}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -100,14 +101,22 @@ def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """``(lang, source, fence map)``, with the language's or the corpus's fences for small groups."""
+    """``(lang, source, fence map)``: the group's own fences, drawn towards those of the language and of the corpus."""
     own = _quantiles(sketch, ["lang", "source"])
     lang = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("fence").alias("lang_fence"), F.col("docs").alias("lang_docs"))
     whole = _quantiles(sketch.withColumn("one", F.lit(1)), ["one"]).select(F.col("fence").alias("corpus_fence"))
     # the right side is one row, by construction
     out = own.join(lang, F.col("lang").eqNullSafe(F.col("l"))).join(F.broadcast(whole), F.lit(True))
-    fence = F.when(F.col("docs") >= MIN_GROUP, F.col("fence")).when(F.col("lang_docs") >= MIN_GROUP, F.col("lang_fence")).otherwise(F.col("corpus_fence"))
-    return out.select("lang", "source", fence.alias("fence"))
+
+    def drawn(k: Column, mine: Column) -> Column:
+        of_lang = _drawn(F.element_at("lang_fence", k), F.element_at("corpus_fence", k), F.col("lang_docs"))
+        return _drawn(mine, of_lang, F.col("docs"))
+
+    return out.select("lang", "source", F.transform_values("fence", drawn).alias("fence"))
+
+
+def _drawn(own: Column, parent: Column, n: Column) -> Column:
+    return parent + (own - parent) * (n / (n + F.lit(PRIOR)))
 
 
 def judged(rows: DataFrame, fences: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -89,7 +89,7 @@ m AS (SELECT w.r, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, C
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_bangs, length(t) - length(replace(t, '|', '')) AS n_bars FROM w LEFT JOIN c USING (r)),
 v AS ({" UNION ALL ".join(f"SELECT r, lang, source, '{k}' AS measure, {x} AS v FROM m" for k, x in _SHARE.items())}),
 sketch AS (SELECT lang, source, measure, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / ln({_GAMMA})) AS INT) ELSE -1073741824 END AS bucket, count(*) AS c FROM v GROUP BY ALL),
-inside AS (SELECT v.r, bool_and(v.v <= CASE WHEN o.docs >= {quality.MIN_GROUP} THEN o.fence WHEN l.docs >= {quality.MIN_GROUP} THEN l.fence ELSE a.fence END) AS ok FROM v
+inside AS (SELECT v.r, bool_and(v.v <= (a.fence + (l.fence - a.fence) * (CAST(l.docs AS DOUBLE) / (l.docs + {quality.PRIOR}))) + (o.fence - (a.fence + (l.fence - a.fence) * (CAST(l.docs AS DOUBLE) / (l.docs + {quality.PRIOR})))) * (CAST(o.docs AS DOUBLE) / (o.docs + {quality.PRIOR}))) AS ok FROM v
     JOIN {_fences("lang, source")} o ON o.measure = v.measure AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
     JOIN {_fences("lang")} l ON l.measure = v.measure AND l.lang IS NOT DISTINCT FROM v.lang JOIN {_fences("")} a ON a.measure = v.measure GROUP BY v.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND ok AS kept FROM m JOIN inside USING (r)"""

@@ -6,13 +6,17 @@ stored 32-bit fingerprint turns away keys that are not there.  A key's shard is
 first and last keys.  Spark's own committer writes the files (one row, one file), to any file system that Spark can write,
 so a task that is lost or runs twice leaves no half shard.
 
-Layout, little-endian: magic, u32 shard, u32 id bytes, u64 documents, u64 documents without a key, u64 hash slots, u64
+``lookup`` reads by byte range: a header, one displacement, one slot, and, where the stored fingerprint is the key's, the key,
+two offsets and the ids themselves; what it reads does not grow with the shard.
+
+Layout, little-endian: magic, u64 shard, u32 id bytes, u64 documents, u64 documents without a key, u64 hash slots, u64
 buckets; i64 key[documents]; u64 offset[documents + 1] in ids; i32 displacement[buckets]; u32 document[slots]; u32
 fingerprint[slots]; ids; end mark.
 
 *Defined cases.*  Null or empty text: the end id alone.  Rows without a key come first, are stored and read back, and
-cannot be looked up.  Repeated keys lie side by side; a lookup finds the first, ``count`` tells how many.  An empty table
-gives no shards and an empty result.  Extra columns are ignored.
+cannot be looked up.  Repeated keys lie side by side; a lookup finds the first.  Very long texts are encoded whole and may make
+a shard longer than ``SHARD_BYTES``.  An empty table gives no shards and an empty result.  Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import keep, partitions, scratch, tune
+from ._shared import keep, partitions, ranges, scratch, tune
 from .encode import default_path, encoder, groups
 
-END_ID, MAGIC, END_MARK = 2, b"SPTOKEN1", b"\nSPTOKEN-END\n"
-#: Bytes of ids after which a shard is closed (at a document's end).
-SHARD_BYTES = 4 << 20
-_HEAD = struct.Struct("<8sIIQQQQ")
+END_ID, MAGIC, END_MARK = 2, b"SPTOKEN2", b"\nSPTOKEN-END\n"
+#: Bytes of ids after which a shard is closed (at a document's end): a task holds one shard at a time.
+SHARD_BYTES = 64 << 20
+#: A shard's number is its range partition and, in the low ``SEQ_BITS`` bits, its place there.
+SEQ_BITS = 32
+_HEAD = struct.Struct("<8sQIQQQQ")
 _ALL, _TURN, _SPIN = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -85,8 +91,12 @@ class PerfectHash:
         return cls(shift, n)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
-        n = self.slots
-        d = self.displacement[(mix(keys, 0) % np.uint64(len(self.displacement))).astype(np.int64)].astype(np.int64)
+        return self.hop(keys, self.displacement[(mix(keys, 0) % np.uint64(len(self.displacement))).astype(np.int64)], self.slots)
+
+    @staticmethod
+    def hop(keys: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
+        """Slots of keys whose buckets have these displacements."""
+        d = displacement.astype(np.int64)
         with np.errstate(over="ignore"):
             turn = np.maximum(d, 0).astype(np.uint64) * np.uint64(_TURN)
             hop = ((((mix(keys, 1) ^ turn) * np.uint64(_SPIN)) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
@@ -165,7 +175,9 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         keys, held, size = [], [], 0
 
         def shard():
-            return pa.RecordBatch.from_arrays([pa.array([build_shard(part << 12 | seq, keys, held, width)], pa.binary())], ["raw"])
+            if seq >> SEQ_BITS:
+                raise ValueError("too many shards in one range partition")
+            return pa.RecordBatch.from_arrays([pa.array([build_shard(part << SEQ_BITS | seq, keys, held, width)], pa.binary())], ["raw"])
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -216,13 +228,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """Write shards to shared scratch space, read them back: ``doc_id, start, n_tokens, ids_crc32``.
 
-    The running total over shards has one row per shard (4 MB of ids), not per document."""
+    Starts are running totals in two steps: of shards within each range partition, which run in parallel, and of range
+    partitions, of which there are as many as the session has shuffle partitions."""
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
     write(docs, path, **options)
     rows = keep(read(spark, path), "read-back")
-    total = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    base = total.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    total = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.shiftright("shard", SEQ_BITS))
+    of_part = total.groupBy("part").agg(F.sum("n").alias("n"))
+    before = of_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = total.select("part", "shard", (F.sum("n").over(Window.partitionBy("part").orderBy("shard")) - F.col("n")).alias("within"))
+    base = within.join(before, "part").select("shard", (F.col("before") + F.col("within")).alias("base"))
     return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -243,15 +259,36 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, shard long, lo long, hi long")
 
 
+def fetch(read, key: int) -> np.ndarray | None:
+    """The ids of a key's document from a shard file, of which ``read(offset, length)`` gives bytes; None if it is not there."""
+    magic, _, width, n, _, slots, buckets = _HEAD.unpack(read(0, _HEAD.size))
+    if magic != MAGIC:
+        raise ValueError("not a token shard")
+    if not slots:
+        return None
+    number = lambda kind, at: np.frombuffer(read(at, np.dtype(kind).itemsize), kind)[0]
+    keys, offsets = _HEAD.size, _HEAD.size + 8 * n
+    shift, ids = offsets + 8 * (n + 1), offsets + 8 * (n + 1) + 4 * buckets + 8 * slots
+    k = np.array([key], np.int64).view(np.uint64)
+    bucket = int(mix(k, 0)[0] % np.uint64(buckets))
+    slot = PerfectHash.hop(k, np.array([number("<i4", shift + 4 * bucket)]), slots)[0]
+    if number("<u4", shift + 4 * buckets + 4 * slots + 4 * int(slot)) != _fp(k)[0]:
+        return None  # the fingerprint turns a stranger away without a look at the keys
+    doc = int(number("<u4", shift + 4 * buckets + 4 * int(slot)))
+    if number("<i8", keys + 8 * doc) != key:
+        return None
+    start, end = np.frombuffer(read(offsets + 8 * doc, 16), "<u8").tolist()
+    return np.frombuffer(read(ids + width * start, width * (end - start)), f"<u{width}")
+
+
 def lookup(spark: SparkSession, shards: DataFrame, keys: list[int]) -> dict[int, list[int]]:
-    """Ids of a few keys.  ``shards``: a kept directory; only the files whose keys reach over one asked for are opened."""
-    near = None
-    for k in keys:
-        near = (F.lit(k).between(F.col("lo"), F.col("hi"))) if near is None else near | F.lit(k).between(F.col("lo"), F.col("hi"))
+    """Ids of a few keys, by byte ranges.  ``shards``: a kept directory; only files whose keys reach over one asked for are opened."""
+    wanted = spark.createDataFrame([(k,) for k in keys], "k long")
+    near = shards.join(F.broadcast(wanted), F.col("k").between(F.col("lo"), F.col("hi"))).groupBy("file", "shard").agg(F.collect_list("k").alias("keys"))
     out: dict[int, list[int]] = {}
-    for row in shards.where(near).orderBy("shard").select("file").toLocalIterator() if keys else []:
-        s = Shard(bytes(spark.read.format("binaryFile").load(row["file"]).select("content").first()["content"]))
-        for k in keys:
-            if k not in out and (ids := s.ids_of(k)) is not None:
-                out[k] = ids.tolist()
+    for row in near.orderBy("shard").toLocalIterator() if keys else []:
+        with ranges(spark, row["file"]) as read:
+            for k in row["keys"]:
+                if k not in out and (ids := fetch(read, k)) is not None:
+                    out[k] = ids.tolist()
     return out

@@ -7,9 +7,11 @@ toxic) to 3.  One weight vector is shared by all thresholds: P(grade > k) = sigm
 gradient descent with momentum on a bounded sample (``TOXIC`` toxic and ``OTHER`` other labelled documents, chosen by a
 hash of the id).  Every document gets its expected severity, sum over k of P(grade > k), its grade and a verdict.
 
-*Defined cases.*  Null or empty text: severity as of no feature, never toxic.  Null labels or ids: not learned from.  No
-labels: severity 0.  Ties and repeated rows: one result row per input row.  Extra columns are ignored.  An empty table
-gives an empty table.
+*Defined cases.*  Null text, or text without a word: severity 0, grade 0, never toxic, whatever the labels.  Null labels or
+ids: not learned from.  No labels, or labels of one kind only, tell nothing apart: severity 0 for all.  An id that several
+rows of the documents share is learned from once, with the text that sorts first.  Very long texts are read whole.  Ties and
+repeated rows: one result row per input row.  Extra columns are ignored, whatever their names.  An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ class Model:
         toxic = np.array([y for _, y in sample], bool)
         self.weights, self.cuts = {}, np.zeros(GRADES)
         if not toxic.any() or toxic.all():
-            self.cuts = np.full(GRADES, np.inf if not toxic.any() else -np.inf)
+            self.cuts = np.full(GRADES, np.inf)
             return
         count: dict[str, list[int]] = {}
         for t, y in sample:
@@ -88,8 +90,11 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, int, float]:
         """Expected severity, most likely grade, chance of being toxic at all."""
-        z = sum(map(self.weights.__getitem__, features(text).intersection(self.weights)))
-        p = [1.0 if c == -math.inf else 1 / (1 + math.exp(max(-40.0, min(40.0, c - z)))) if c != math.inf else 0.0 for c in self.cuts.tolist()]
+        own = features(text)
+        if not own:
+            return 0.0, 0, 0.0
+        z = sum(map(self.weights.__getitem__, own.intersection(self.weights)))
+        p = [1 / (1 + math.exp(max(-40.0, min(40.0, c - z)))) if c != math.inf else 0.0 for c in self.cuts.tolist()]
         chance = [a - b for a, b in zip([1.0, *p], [*p, 0.0], strict=True)]
         return sum(p), max(range(GRADES + 1), key=lambda k: (chance[k], -k)), p[0]
 
@@ -99,8 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y"))
     by_hash = (F.xxhash64(F.lit("toxicity"), "_id"), "_id")
     picked = known.where("_y = 1").orderBy(*by_hash).limit(toxic).union(known.where("_y = 0").orderBy(*by_hash).limit(other)).groupBy("_id").agg(F.max("_y").alias("_y"))
-    got = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).where(F.col(text_col).isNotNull()).select("_id", text_col, "_y").collect()
-    return Model([(r[1], r[2]) for r in sorted(got, key=lambda r: (r[0], r[1]))])
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").isNotNull())
+    # at most toxic + other rows come back: repeated ids meet in a partially aggregated minimum
+    got = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("_text"), F.max("_y")).collect()
+    return Model([(r[1], r[2]) for r in sorted(got, key=lambda r: r[0])])
 
 
 def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import keep, partitions, scratch, tune
+from ._shared import keep, partitions, ranges, scratch, tune
 
 DATE, MIN_REVISIT_BYTES, BLOCK_LINES, RECORDS_PER_FILE = "2024-01-01T00:00:00Z", 0, 256, 1000
 BETWEEN, BLOCK_MAGIC, BLOCK_END = "\r\n\r\n", b"CDXBLK1\n", b"\n"
@@ -212,14 +212,8 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
 
 def read_range(spark: SparkSession, file: str, offset: int, length: int) -> bytes:
     """Bytes of a file on any file system that Spark knows."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(path)
-    try:
-        stream.seek(offset)
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
-    finally:
-        stream.close()
+    with ranges(spark, file) as read:
+        return read(offset, length)
 
 
 class CaptureIndex:

@@ -125,3 +125,61 @@ def test_token_round_trip(spark, docs_of, tmp_path):
     tokenbin.write(docs, path, shard_bytes=500)
     found = tokenbin.lookup(spark, tokenbin.directory(spark, path), [9, 150, 12345])
     assert set(found) == {9, 150} and len(found[9]) == len(ids("hello world " * 200)) // 4
+
+
+def test_the_certificate_is_in_the_result(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(k, 0, 0, rng.choice([60, 40, 55, 70, 30]), 0) for k in range(300)], packing._PIECES)
+    got = packing.pack(rows, 100, part_rows=50)
+    sequences, least = packing.certificate(got, 100)
+    packed = got.collect()
+    assert sequences == check_packed(packed, 100) and least <= sequences
+    assert least == packing.lower_bound(np.array([r["length"] for r in packed]), 100)
+    total = {}
+    for r in packed:
+        total[r["sequence_id"]] = total.get(r["sequence_id"], 0) + r["length"]
+    assert all(r["full"] == (total[r["sequence_id"]] == 100) for r in packed) and all(r["gap"] >= 0 for r in packed)
+    easy = packing.pack(spark.createDataFrame([(k, 0, 0, 50, 0) for k in range(64)], packing._PIECES), 100, part_rows=16).collect()
+    assert {r["gap"] for r in easy} == {0} and check_packed(easy, 100) == 32
+
+
+def test_a_very_long_text_is_cut_and_read_back(docs_of):
+    text = "\n".join(f"line {k} of a very long text" for k in range(20_000))
+    docs = docs_of([(1, text), (2, "x")])
+    enc = encode.Encoder(encode.default_path("word_bpe_49k.json"), "drop")
+    raw = enc.whole([text])[0] + np.array([1], "<u4").tobytes()
+    got = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(packing.pieces(docs)).collect() if r["doc_id"] == 1)
+    assert got == [(k, 4096 * k, len(raw[a : a + 16384]) // 4, zlib.crc32(raw[a : a + 16384])) for k, a in enumerate(range(0, len(raw), 16384))]
+    other = encode.Encoder(encode.default_path("byte_bpe_50k.json"), "lead")
+    ids = other.whole([text])[0] + b"\2\0\0\0"
+    r = tokenbin.round_trip(docs).where("doc_id = 1").first()
+    assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (0, len(ids) // 4, zlib.crc32(ids))
+
+
+def test_shards_of_one_partition_do_not_run_into_the_next(spark):
+    """More shards in a range partition than twelve bits can number."""
+    rows = [(k, f"t{k}") for k in range(9000)]
+    got = sorted(map(tuple, tokenbin.round_trip(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shard_bytes=1).collect()))
+    at = 0
+    for k, (d, start, n, _) in enumerate(got):
+        assert (d, start) == (k, at)
+        at += n
+
+
+def test_lookups_read_bytes_and_not_shards():
+    keys = sorted(random.Random(5).sample(range(10**9), 3000))
+    raw = tokenbin.build_shard(1 << 40, keys, [np.arange(k % 50 + 1, dtype="<u2").tobytes() for k in range(3000)], 2) + tokenbin.END_MARK
+    shard, taken = tokenbin.Shard(raw), []
+
+    def read(offset, length):
+        taken.append(length)
+        return raw[offset : offset + length]
+
+    assert shard.number == 1 << 40
+    for k in (keys[0], keys[1234], keys[-1]):
+        taken.clear()
+        assert tokenbin.fetch(read, k).tolist() == shard.ids_of(k).tolist() and sum(taken) < 250
+    strangers = [k for k in range(500) if k not in set(keys)]
+    for k in strangers:
+        taken.clear()
+        assert tokenbin.fetch(read, k) is None and sum(taken) < 100

@@ -16,7 +16,7 @@ LANGS = {"en": ["the", "ing", "and", "ou", "sh"], "de": ["sch", "ein", "ung", "
 def test_languages(docs_of):
     rng = random.Random(1)
     rows = [(k, speech(rng, LANGS[lang], 30), lang) for k, lang in enumerate(list(LANGS) * 60)]
-    more = [(1000, None, "en"), (1001, "123 456", "en"), (1002, "", None), (None, rows[0][1], None), (1003, rows[1][1].upper(), None)]
+    more = [(1000, None, "en"), (1001, "123 456", "en"), (1002, "", None), (None, rows[0][1], None), (1003, rows[1][1].upper(), None), (1004, "\u00bd \u00b2", "en"), (1005, "\u2167", "de"), (1006, "\u2460 7", None), (1007, speech(rng, LANGS["de"], 60_000), None)]
     got = langid.identify(docs_of(rows + more)).collect()
     assert len(got) == len(rows) + len(more)
     by = {r["doc_id"]: r for r in got}
@@ -27,6 +27,9 @@ def test_languages(docs_of):
         assert (by[k]["lang_pred"], by[k]["score"]) == ("und", 0.0)
     assert by[None]["lang_pred"] == "en" and by[None]["held_out"] and by[1003]["lang_pred"] == "de"
     assert all(0 <= r["score"] <= 1 for r in got)
+    for k in (1004, 1005, 1006):  # number signs are no letters
+        assert (by[k]["lang_pred"], by[k]["score"]) == ("und", 0.0)
+    assert by[1007]["lang_pred"] == "de"  # a very long text
     assert {r["lang_pred"] for r in langid.identify(docs_of([(1, "some text", None)])).collect()} == {"und"}
     assert langid.identify(docs_of([])).collect() == []
 
@@ -59,6 +62,37 @@ def test_toxicity(spark, docs_of):
     none = toxicity.severity(docs_of(rows[:3]), labels.where("false")).collect()
     assert [(r["severity"], r["toxic"]) for r in none] == [(0.0, False)] * 3
     assert toxicity.severity(docs_of([]), labels).collect() == []
+    bad = toxicity.severity(docs_of([*rows[:3], (9, None), (10, "")]), labels.where("toxic = 1")).collect()
+    assert len(bad) == 5 and {(r["severity"], r["toxic"]) for r in bad} == {(0.0, False)}  # one kind of label tells nothing
+
+
+def test_toxicity_of_repeated_ids_clashing_names_and_long_texts(spark):
+    rng = random.Random(13)
+    clean = lambda n=60: speech(rng, LANGS["en"], n)
+    rows = [(k, f"{clean()} moron {clean()} moron" if k % 2 else clean()) for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2, "x", 1) for k in range(100)], "doc_id long, toxic int, _id string, _y int")
+    full = [(k, t, "u", "v", 3, True) for k, t in rows + rows[:50] * 20 + [(500, clean(60_000) + " moron moron"), (501, clean(60_000))]]
+    docs = spark.createDataFrame(full, "doc_id long, text string, _id string, t string, _y int, severity boolean")
+    got = toxicity.severity(docs, labels).collect()
+    assert len(got) == len(full)
+    assert sum(r["toxic"] == bool(r["doc_id"] % 2) for r in got if r["doc_id"] < 500) > 0.97 * 1200
+    assert {r["doc_id"] for r in got if r["doc_id"] >= 500} == {500, 501}
+
+
+def brute_logit(model, text):
+    return sum(model.weights.get(f, 0.0) for f in toxicity.features(text))
+
+
+def test_severity_is_that_of_a_cumulative_link(docs_of):
+    rng = random.Random(14)
+    sample = [(" ".join([speech(rng, LANGS["en"], 30), *["moron"] * (k % 4), *["scum"] * (k % 8 // 4)]), int(k % 4 > 0)) for k in range(400)]
+    model = toxicity.Model(sample)
+    for text, _ in sample[:40]:
+        above = [1 / (1 + np.exp(c - brute_logit(model, text))) for c in model.cuts]
+        severity, grade, p = model.score(text)
+        assert abs(severity - sum(above)) < 1e-9 and abs(p - above[0]) < 1e-9 and above == sorted(above, reverse=True)
+        chance = -np.diff([1.0, *above, 0.0])
+        assert chance[grade] == max(chance)
 
 
 def brute_align(a, b):
@@ -96,7 +130,7 @@ def test_leaks_copied_and_edited(spark, docs_of):
     rows += [(100, f"{text(80)} {items[0][1].upper()} {text(80)}"), (101, f"{text(80)} {edited(items[1][1])} {text(50)}"), (102, " ".join(items[2][1].split()[:8]) + text(50)), (103, text(20) + " Quixotic zebra, " + text(9))]
     rows += [(200 + k, f"{text(30)} {items[3][1]}") for k in range(60)] + [(None, items[4][1]), (300, None), (301, ""), (100, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (20_000, 4):
+    for block in (decontam.BLOCK, 250):
         got = decontam.find(docs_of(rows), bench, block=block).collect()
         found = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["item_id"]) for r in got)
         assert found == sorted([((False, 100), 0), ((False, 100), 0), ((False, 101), 1), ((False, 103), 52), ((True, 0), 4), *[((False, 200 + k), 3) for k in range(60)]])
@@ -126,3 +160,53 @@ def test_the_bound_is_never_below_the_alignment():
         a, b = (np.array([rng.randint(-1, 6) for _ in range(rng.randint(1, 30))]) for _ in range(2))
         a = np.maximum(a, 0)
         assert decontam.bound(np.unique(a), b) >= decontam.align(a, b)[0]
+
+
+def test_leaks_are_those_of_an_exhaustive_alignment(spark, docs_of):
+    """Every item against every whole document by the textbook's table; a leak must also hold the seeds that the method asks for."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(60)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, text(rng.randint(4, 24))) for k in range(10)] + [(20, ["solo"]), (21, ["two", "words"]), (22, ["w1"])]
+
+    def edited(w):
+        return [x if rng.random() > 0.15 else rng.choice(vocabulary) for x in w if rng.random() > 0.08]
+
+    rows = [(k, text(rng.randint(0, 70))) for k in range(25)]
+    rows += [(100 + k, text(rng.randint(0, 30)) + edited(items[k % 10][1]) + text(rng.randint(0, 30))) for k in range(40)] + [(200, ["a", "solo"]), (201, ["two", "x", "words"]), (202, ["two", "words"])]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    number = {w: k for k, w in enumerate(sorted({w for _, t in items + rows for w in t}))}
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.find(docs_of([(k, " ".join(t)) for k, t in rows]), bench).collect()}
+    for d, t in rows:
+        for k, item in items:
+            best = brute_align([number[w] for w in item], [number[w] for w in t]) / (2 * len(item)) if t else 0
+            n = min(decontam.N, len(item))
+            runs = lambda w: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+            seeds = len(runs(item) & runs(t))
+            need = min(decontam.MIN_SEEDS, len(runs(item)))
+            if (d, k) in got:
+                assert best >= decontam.SCORE and seeds >= need and got[d, k]["score"] <= best
+            elif best >= decontam.SCORE and seeds >= need:  # the seeds of the best alignment may lie apart from it
+                a = [i for i in range(len(t) - n + 1) if tuple(t[i : i + n]) in runs(item)]
+                assert max(b - a for a, b in zip(a, a[1:], strict=False)) > 2 * len(item)
+    assert {(200, 20), (202, 21)} <= set(got) and (201, 21) not in got and sum(d >= 100 for d, _ in got) > 25
+
+
+def test_short_items_cost_no_scan_of_all_seeds():
+    rng = random.Random(9)
+    items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(60))) for k in range(400)]
+    bench = decontam.Benchmark([*items, (1000, "quixotic zebra")])
+    assert [n for n, *_ in bench.index] == [2, 3] and len(bench.index[0][1]) == 1
+    assert [x[0] for x in bench.leaks("a quixotic zebra and " + items[7][1] + " word" * 50_000)] == [7, 1000]
+
+
+def test_clashing_names_and_very_long_documents(spark):
+    rng = random.Random(10)
+    item = " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    long = " ".join(f"x{rng.randrange(5000)}" for _ in range(60_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}", 1, 2, 3), (2, long, 4, 5, 6), (3, None, 7, 8, 9)], "doc_id long, text string, k int, t int, item_id int")
+    bench = spark.createDataFrame([(5, item, 1, 2)], "item_id long, text string, k int, t int")
+    [r] = decontam.find(docs, bench).collect()
+    assert (r["doc_id"], r["item_id"], r["score"], r["first_word"]) == (1, 5, 1.0, 60_000)
+    left = decontam.decontaminate(docs, bench)
+    assert left.columns == docs.columns and {x["k"] for x in left.collect()} == {4, 7}
