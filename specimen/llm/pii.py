@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, tune
+from ._shared import keep, temporary, tune
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 WINDOW, Z, GENERALISE, REMOVE = 8, 1.645, 0.8, 0.95
@@ -246,9 +246,11 @@ def _term_spans(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 def _detect(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     scanned = keep(scan(docs, id_col, text_col), "pii")
-    texts = scanned.where("text_key is not null").groupBy("text_key").agg(F.first("mentions").alias("mentions"), F.first("held").alias("held"))
-    texts = keep(texts, "texts")
-    return scanned, keep(_term_spans(texts, disclosures(texts, docs, text_col)), "terms")
+    with temporary(docs.sparkSession) as lasts:
+        texts = scanned.where("text_key is not null").groupBy("text_key").agg(F.first("mentions").alias("mentions"), F.first("held").alias("held"))
+        texts = keep(texts, "texts")
+        terms = lasts(keep(_term_spans(texts, disclosures(texts, docs, text_col)), "terms"))
+    return scanned, terms
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

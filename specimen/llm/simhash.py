@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, partitions, tune
+from ._shared import keep, partitions, temporary, tune
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -248,11 +248,13 @@ def links(prints: DataFrame, shard_cap: int = SHARD_CAP) -> DataFrame:
 
 def _grouped(prints: DataFrame, own: DataFrame, least) -> DataFrame:
     """``prints`` plus ``low``: the smallest ``least`` of all rows whose fingerprints the links ``own(distinct)`` connect."""
-    distinct = keep(prints.groupBy("fp").agg(F.min(least).alias("first")), "distinct")
-    roots = components(own(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = keep(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    low = keep(rooted.groupBy("root").agg(F.min("first").alias("low")), "low")
-    return prints.join(keep(rooted.join(low, "root").select("fp", "low"), "of_print"), "fp")
+    with temporary(prints.sparkSession) as lasts:
+        distinct = keep(prints.groupBy("fp").agg(F.min(least).alias("first")), "distinct")
+        roots = components(own(distinct.select("fp"))).withColumnRenamed("node", "fp")
+        rooted = keep(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        low = keep(rooted.groupBy("root").agg(F.min("first").alias("low")), "low")
+        of_print = lasts(keep(rooted.join(low, "root").select("fp", "low"), "of_print"))
+    return prints.join(of_print, "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_cap: int = SHARD_CAP, extra: DataFrame | None = None) -> DataFrame:
@@ -384,11 +386,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row is named by its id and an MD5 of its text; rows that share the name are exact copies, of which one stays."""
     text = F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8"))
     name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), text.isNull().alias("void"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = keep(looked(docs, name, text_col), "looked")
-    look = (lambda fps: links(fps).union(look_links(rows))) if lookalikes else links
-    found = keep(_grouped(rows.select("row", "fp"), look, F.col("row")).select("row", "low"), "found")
-    gone = keep(found.where("row != low").select(F.xxhash64("row").alias("h"), "row").distinct(), "gone")
-    twice = keep(found.where("row = low").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("row").alias("h"), "row"), "twice")
+    with temporary(docs.sparkSession) as lasts:
+        rows = keep(looked(docs, name, text_col), "looked")
+        look = (lambda fps: links(fps).union(look_links(rows))) if lookalikes else links
+        found = keep(_grouped(rows.select("row", "fp"), look, F.col("row")).select("row", "low"), "found")
+        hashed = lambda df: df.select(F.xxhash64("row").alias("h"), "row")
+        gone = lasts(keep(hashed(found.where("row != low").select("row").distinct()), "gone"))
+        twice = lasts(keep(hashed(found.where("row = low").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "twice"))
     named = docs.select("*", name.alias("__sp_row")).withColumn("__sp_h", F.xxhash64("__sp_row"))
     at = lambda few: (F.col("__sp_h") == few["h"]) & (F.col("__sp_row") == few["row"])
     stay = named.join(gone, at(gone), "left_anti")

@@ -1,4 +1,5 @@
 import base64
+import os
 import hashlib
 
 import pytest
@@ -75,3 +76,18 @@ def test_pipeline_stages(spark, tmp_path, docs_of):
     assert "me@mail" not in docs.where("doc_id = 102").first()["text"]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == alive[-1] and all(r["offset"] + r["length"] <= 4096 for r in packed)
+
+
+def test_pipeline_of_empty_tables_and_scratch_space(spark, tmp_path):
+    from specimen.llm import _shared
+
+    rows = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    with _shared.temporary(spark) as lasts:
+        gone = _shared.keep(spark.range(3), "gone")
+        stays = lasts(_shared.keep(spark.range(4), "stays"))
+    assert stays.count() == 4 and not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
+    _shared.clean_up(spark)
+    assert not os.path.exists(stays.inputFiles()[0].removeprefix("file://"))
