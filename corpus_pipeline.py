@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from specimen.llm import decontam, packing, pii, quality, simhash
-from specimen.llm._shared import keep, table
+from specimen.llm._shared import discard, keep, table, temporary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,7 +39,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's working tables go once its result is written, and its input once nothing reads it any more."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        with temporary(spark) as lasts:
+            made = lasts(keep(stage(spark, docs, sf_dir), name))
+        if k:
+            discard(docs)
+        docs = made
     return docs
