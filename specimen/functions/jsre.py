@@ -14,7 +14,7 @@ PY_WS = "\\t-\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def duck_trim(x: str) -> str:
@@ -32,3 +32,9 @@ def utf16_length(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     return trim(F.regexp_replace(c, f"[{WS}]+", " "))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.  The optimizer merges projections and would repeat a costly expression
+    wherever it is used; it does not look into a lambda's argument."""
+    return F.transform(F.array(value), body)[0]

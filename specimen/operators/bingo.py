@@ -54,6 +54,12 @@ def completed(marks: Column) -> Column:
     return F.transform(F.filter(lines, lambda x: F.forall(x["at"], lambda i: F.get(marks, i))), lambda x: x["name"])
 
 
+def completed_of_mask(mask: Column) -> Column:
+    """The same from the bits of a number; the middle cell always counts.  A line is complete if its bits are all set."""
+    bits = mask.bitwiseOR(F.lit(1 << FREE))
+    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(sum(1 << i for i in at))) == sum(1 << i for i in at), F.lit(n)) for n, at in LINES]))
+
+
 def marks_of_mask(mask: Column) -> Column:
     """25 booleans from the bits of a number; the middle cell always counts."""
     return F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: (F.pmod(F.floor(mask / F.pow(F.lit(2), i)), F.lit(2)) == 1) | (i == FREE))

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from array import array
 
 import pandas as pd
 import regex
@@ -28,52 +27,73 @@ _WORD_CHAR = regex.compile(r"[\p{L}\p{N}\p{M}_]")
 
 
 def edit_script(a: list, b: list, max_d: int | None = None) -> tuple[str, bool]:
-    """A shortest script as a string of ``=``, ``-`` and ``+`` (Myers' O(ND) search), and whether it was given up.
-
-    Equal ends are set aside first.  Where the search passes ``max_d`` edits, the middle becomes deletions and insertions."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    """A shortest script as a string of ``=``, ``-`` and ``+`` (Myers' search in linear space), and whether it was given up.
+
+    Deletions stand before the insertions of the same place.  Where more than ``max_d`` edits are needed, all between the
+    equal ends becomes deletions and insertions."""
+    out: list[str] = []
+    todo: list[tuple] = [(0, len(a), 0, len(b))]
+    first = True
+    while todo:
+        job = todo.pop()
+        if len(job) == 1:
+            out.append("=" * job[0])
+            continue
+        a0, a1, b0, b1 = job
+        head = 0
+        while a0 + head < a1 and b0 + head < b1 and a[a0 + head] == b[b0 + head]:
+            head += 1
+        tail = 0
+        while a0 + head < a1 - tail and b0 + head < b1 - tail and a[a1 - 1 - tail] == b[b1 - 1 - tail]:
+            tail += 1
+        a0, a1, b0, b1 = a0 + head, a1 - tail, b0 + head, b1 - tail
+        out.append("=" * head)
+        n, m = a1 - a0, b1 - b0
+        if not n or not m:
+            out.append("-" * n + "+" * m + "=" * tail)
+            continue
+        most = n + m
+        if first:
+            most = max_d if max_d is not None else most if most <= ALWAYS else max(1, WORK // (most + 1))
+            first = False
+        met = _meeting(a[a0:a1], b[b0:b1], most)
+        if met is None:
+            return "=" * head + "-" * n + "+" * m + "=" * tail, True
+        i, j, length = met
+        todo += [(tail,), (a0 + i + length, a1, b0 + j + length, b1), (length,), (a0, a0 + i, b0, b0 + j)]
+    return re.sub("[-+]+", lambda r: "-" * r[0].count("-") + "+" * r[0].count("+"), "".join(out)), False
+
+
+def _meeting(x: list, y: list, most: int) -> tuple[int, int, int] | None:
+    """Where a shortest path through two sequences, which differ at both ends, is half done: ``(i, j, equal run from there)``.
+
+    One front of furthest places grows from either end by an edit at a time; a path is whole where they overlap.  Only the
+    two fronts are held.  None if that takes more than ``most`` edits."""
     n, m = len(x), len(y)
-    if max_d is None:
-        max_d = n + m if n + m <= ALWAYS else max(1, WORK // (n + m + 1))
-    frame = lambda mid: "=" * head + mid + "=" * tail
-    if not n or not m:
-        return frame("-" * n + "+" * m), False
-    most = min(max_d, n + m)
-    reach, mid, trail = array("i", bytes(4 * (2 * most + 3))), most + 1, []
-    for d in range(most + 1):
-        trail.append(reach[mid - d - 1 : mid + d + 2])  # diagonals -d-1 to d+1, four bytes each
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[mid + k - 1] < reach[mid + k + 1])
-            i = reach[mid + k + 1] if down else reach[mid + k - 1] + 1
-            while i < n and i - k < m and x[i] == y[i - k]:
-                i += 1
-            reach[mid + k] = i
-            if i >= n and i - k >= m:
-                return frame(_walk_back(trail, n, m)), False
-    return frame("-" * n + "+" * m), True
-
-
-def _walk_back(trail: list[array], i: int, j: int) -> str:
-    out = []
-    for d in range(len(trail) - 1, -1, -1):
-        reach, k, mid = trail[d], i - j, d + 1
-        down = k == -d or (k != d and reach[mid + k - 1] < reach[mid + k + 1])
-        before = k + 1 if down else k - 1
-        pi = reach[mid + before]
-        pj = pi - before
-        while i > pi and j > pj:
-            out.append("=")
-            i, j = i - 1, j - 1
-        if d:
-            out.append("+" if down else "-")
-            i, j = pi, pj
-    return "".join(reversed(out))
+    skew = n - m
+    size = n + m + 3
+    # furthest place in x on each diagonal, from the start and from the end; a list's last places are its negative diagonals
+    ahead, back = [0] * size, [0] * size
+    for d in range((n + m + 1) // 2 + 1):
+        low, high = -d + 2 * max(0, d - m), d - 2 * max(0, d - n)
+        for front, other, forward in ((ahead, back, True), (back, ahead, False)):
+            if 2 * d - forward > most:
+                return None
+            for k in range(low, high + 1, 2):
+                insert = k == -d or (k != d and front[k - 1] < front[k + 1])
+                i = begun = front[k + 1] if insert else front[k - 1] + 1
+                j = i - k
+                if forward:
+                    while i < n and j < m and x[i] == y[j]:
+                        i, j = i + 1, j + 1
+                else:
+                    while i < n and j < m and x[n - 1 - i] == y[m - 1 - j]:
+                        i, j = i + 1, j + 1
+                front[k] = i
+                facing, reached = skew - k, d - forward  # the other front's diagonal, and how far that front has come
+                if (skew % 2 == 1) == forward and -reached <= facing <= reached and i + other[facing] >= n:
+                    return (begun, begun - k, i - begun) if forward else (n - i, m - j, i - begun)
+    return None
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -120,10 +140,11 @@ def lens_key(value: str, kind: str, nfc: bool = False, ignore_case: bool = False
     return value
 
 
-def compare(a: str, b: str, mode: str = "word", cap: int = 6000, **lens) -> dict:
-    """Segments (runs joined except in line mode), counts, regions.  Character mode is refused on very long texts."""
+def compare(a: str, b: str, mode: str = "word", cap: int | None = None, gate: int | None = None, **lens) -> dict:
+    """Segments (runs joined except in line mode), counts, regions.  Limits are asked for: ``cap`` cuts the list of segments,
+    ``gate`` (``CHAR_GATE`` is usual) refuses character mode on longer texts."""
     ta, tb = tokens(a, mode), tokens(b, mode)
-    if mode == "char" and max(len(ta), len(tb)) > CHAR_GATE:
+    if mode == "char" and gate is not None and max(len(ta), len(tb)) > gate:
         return {"mode": mode, "segments": [], "inserted": 0, "deleted": 0, "regions": 0, "degraded": False, "capped": False, "disabled": True}
     ops, degraded = edit_script([lens_key(*t, **lens) for t in ta], [lens_key(*t, **lens) for t in tb])
     out: list[list] = []
@@ -135,7 +156,7 @@ def compare(a: str, b: str, mode: str = "word", cap: int = 6000, **lens) -> dict
             out[-1][1] += value
         else:
             out.append([op, value])
-    return {"mode": mode, "segments": out[:cap], "inserted": ops.count("+"), "deleted": ops.count("-"), "regions": len(re.findall("[-+]+", ops)), "degraded": degraded, "capped": len(out) > cap, "disabled": False}
+    return {"mode": mode, "segments": out[:cap], "inserted": ops.count("+"), "deleted": ops.count("-"), "regions": len(re.findall("[-+]+", ops)), "degraded": degraded, "capped": cap is not None and len(out) > cap, "disabled": False}
 
 
 # -- folds and verdict ---------------------------------------------------------------------------------------------------
@@ -165,6 +186,8 @@ FOLDS = {
     "homoglyph": lambda s: s.translate(_HOMOGLYPHS | _WIDE_LETTERS),
     "punctuation": lambda s: s.translate(_MARKS | _WIDE_MARKS),
 }
+#: Compatibility folding explains more than the verdict asks for, so it is on call and not one of the verdict's folds.
+nfkc = lambda s: unicodedata.normalize("NFKC", s)
 _TOGETHER = ["invisibles", "nfc", "homoglyph", "punctuation", "case", "whitespace"]
 
 
@@ -199,14 +222,14 @@ def verdict_native(a: Column, b: Column) -> Column:
 
 
 # -- subtle differences --------------------------------------------------------------------------------------------------
-def subtle(a: str, b: str) -> list[tuple[str, str, int]]:
+def subtle(a: str, b: str, gate: int | None = None) -> list[tuple[str, str, int]]:
     """``(dimension, severity, count)`` of replaced, inserted or deleted graphemes that are easily overlooked.
 
-    Nothing is said of texts that simply differ (less than 70 % equal), or of very long ones."""
+    Nothing is said of texts that simply differ (less than 70 % equal), or, with ``gate``, of longer ones."""
     if a == b:
         return []
     ga, gb = graphemes(a), graphemes(b)
-    if max(len(ga), len(gb)) > SUBTLE_GATE:
+    if gate is not None and max(len(ga), len(gb)) > gate:
         return []
     ops, _ = edit_script(ga, gb)
     if verdict(a, b)[0] == "different" and ops.count("=") / max(len(ga), len(gb), 1) < SIMILAR:
@@ -239,34 +262,40 @@ def subtle(a: str, b: str) -> list[tuple[str, str, int]]:
 
 # -- patches -------------------------------------------------------------------------------------------------------------
 def unified(a: str, b: str, **lens) -> str:
-    """A unified diff with three lines of context; hunks whose contexts meet are one."""
-    la, lb = tokens(a, "line"), tokens(b, "line")
-    ends = [bool(s) and s[-1] in "\r\n" for s in (a, b)]
-    key = lambda t, last, end: lens_key(*t, **lens) + ("" if end or not last else "\0no-eol")
-    ops, _ = edit_script([key(t, k == len(la) - 1, ends[0]) for k, t in enumerate(la)], [key(t, k == len(lb) - 1, ends[1]) for k, t in enumerate(lb)])
-    if set(ops) <= {"="}:
-        return ""
-    rows, i, j = [], 0, 0
-    for op in ops:
-        rows.append((op, lb[j][0] if op == "+" else la[i][0], i, j))
-        i, j = i + (op != "+"), j + (op != "-")
-    changed = [k for k, r in enumerate(rows) if r[0] != "="]
-    hunks: list[list[int]] = []
-    for k in changed:
-        if hunks and k - hunks[-1][1] <= 2 * CONTEXT + 1:
-            hunks[-1][1] = k
+    """A unified diff with three lines of context; hunks whose contexts meet are one.
+
+    The script is cut into runs of changes; a line that the text ends on without a line end is unlike the same line with one."""
+    sides = []
+    for text in (a, b):
+        lines = [value for value, _ in tokens(text, "line")]
+        open_end = bool(lines) and text[-1] not in "\r\n"
+        keys = [(lens_key(x, "line", **lens), False) for x in lines]
+        if open_end:
+            keys[-1] = (keys[-1][0], True)
+            lines[-1] += "\n" + NO_EOL
+        sides.append((lines, keys))
+    (old, old_keys), (new, new_keys) = sides
+    ops, _ = edit_script(old_keys, new_keys)
+    groups: list[tuple[int, int]] = []
+    for run in re.finditer("[-+]+", ops):
+        if groups and run.start() - groups[-1][1] <= 2 * CONTEXT:
+            groups[-1] = (groups[-1][0], run.end())
         else:
-            hunks.append([k, k])
-    out = ["--- A", "+++ B"]
-    for first, last in hunks:
-        part = rows[max(0, first - CONTEXT) : last + CONTEXT + 1]
-        na, nb = (sum(r[0] != skip for r in part) for skip in "+-")
-        out.append(f"@@ -{part[0][2] + (na > 0)},{na} +{part[0][3] + (nb > 0)},{nb} @@")
-        for op, text, ai, bi in part:
-            out.append({"=": " "}.get(op, op) + text)
-            if (op != "+" and ai == len(la) - 1 and not ends[0]) or (op == "+" and bi == len(lb) - 1 and not ends[1]):
-                out.append(NO_EOL)
-    return "\n".join(out) + "\n"
+            groups.append(run.span())
+    out = []
+    for start, end in groups:
+        start, end = max(0, start - CONTEXT), min(len(ops), end + CONTEXT)
+        i, j, part = start - ops.count("+", 0, start), start - ops.count("-", 0, start), ops[start:end]
+        n_old, n_new = len(part) - part.count("+"), len(part) - part.count("-")
+        out.append(f"@@ -{i + bool(n_old)},{n_old} +{j + bool(n_new)},{n_new} @@")
+        old_lines, new_lines = iter(old[i : i + n_old]), iter(new[j : j + n_new])
+        for op in part:
+            if op == "=":
+                next(new_lines)
+                out.append(" " + next(old_lines))
+            else:
+                out.append(op + next(new_lines if op == "+" else old_lines))
+    return "\n".join(["--- A", "+++ B", *out]) + "\n" if out else ""
 
 
 # -- columns -------------------------------------------------------------------------------------------------------------
@@ -309,3 +338,19 @@ def summary(a: str, b: str) -> str:
     d = compare(a, b, "line")
     more = "".join(f"\n- {x}: {n} ({s})" for x, s, n in subtle(a, b))
     return f"Verdict: {kind}{' (' + ', '.join(dims) + ')' if dims else ''}\nLines: +{d['inserted']} -{d['deleted']} in {d['regions']} places{more}\n"
+
+
+def places(text: str, offsets: list[int]) -> list[tuple[int, int]]:
+    """1-based line and column of each offset (in ascending order), in one pass."""
+    out, line, start, ends = [], 1, 0, _BREAK.finditer(text)
+    end = next(ends, None)
+    for at in offsets:
+        while end is not None and end.end() <= at:
+            line, start, end = line + 1, end.end(), next(ends, None)
+        out.append((line, at - start + 1))
+    return out
+
+
+def pair_record(a: Column, b: Column, mode: str = "word", **lens) -> Column:
+    """Everything on a pair: verdict, counts and segments, subtle differences, statistics of both sides."""
+    return F.struct(verdict_column(a, b).alias("verdict"), diff_column(a, b, mode, **lens).alias("diff"), subtle_column(a, b).alias("subtle"), side_stats(a).alias("a"), side_stats(b).alias("b"))

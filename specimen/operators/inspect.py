@@ -94,9 +94,10 @@ def trailing_whitespace(text: Column) -> Column:
     return F.filter(lines, lambda x: x["n"] > 0)
 
 
-@arrow("long")
-def graphemes(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else len(x) - x.count("\r\n") if x.isascii() else len(regex.findall(r"\X", x)))
+def graphemes(text: Column) -> Column:
+    """User-perceived characters.  A text of ASCII alone has one for each code point, but CR LF is one."""
+    plain = F.length(text) - F.regexp_count(text, F.lit("\r\n"))
+    return F.when(F.length(text) == F.octet_length(text), plain).otherwise(F.regexp_count(text, F.lit(r"\X"))).cast("long")
 
 
 def stats(text: Column) -> Column:

@@ -271,8 +271,8 @@ def unsafe_number(raw: Column) -> Column:
     return F.when(F.abs(value) == float("inf"), "overflow").when(big, "unsafe-integer")
 
 
-def search(n: DataFrame, query: str, limit: int | None = 200) -> DataFrame:
-    """Values whose key or scalar holds the text, whatever the case, in document order."""
+def search(n: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Values whose key or scalar holds the text, whatever the case, in document order; all of them unless ``limit`` is given."""
     q = F.lit(query.lower())
     hit = n.where(F.lower(F.coalesce("key", F.lit(""))).contains(q) | F.lower(F.coalesce("value", "raw", F.lit(""))).contains(q))
     hit = hit.select("doc_id", "ord", "pointer", "key", "kind", "raw").orderBy("doc_id", "ord")

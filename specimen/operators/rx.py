@@ -488,14 +488,33 @@ def matches(df: DataFrame, id_col: str, text_col: str, source: str, flags: str =
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(each, _ROWS)
 
 
+def _native(source: str, flags: str) -> str | None:
+    """The pattern for Java, or None where it has back-references: Java fails one whose group took no part, where ECMAScript
+    matches nothing, and reads a digit behind it as part of its number."""
+    p = parse(source, flags)
+    return None if any(n.kind == "backref" for n in _walk(p.tree)) else rewrite(p, java=True)
+
+
+def _counted(source: str, flags: str, first: bool):
+    every = "".join(c for c in parse(source, flags).flags if c not in "gy") + ("" if first else "g")
+
+    @arrow("int")
+    def each(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else len(run(source, every, t)[0])).astype("Int32")
+
+    return each
+
+
 def count(text: Column, source: str, flags: str = "") -> Column:
-    """How many matches, natively."""
-    return F.regexp_count(text, F.lit(rewrite(parse(source, flags), java=True)))
+    """How many matches: natively, but for patterns with back-references."""
+    native = _native(source, flags)
+    return F.regexp_count(text, F.lit(native)) if native is not None else _counted(source, flags, False)(text)
 
 
 def test(text: Column, source: str, flags: str = "") -> Column:
-    """Whether the pattern is found, natively; g and y do not matter."""
-    return text.rlike(rewrite(parse(source, flags), java=True))
+    """Whether the pattern is found, natively but for patterns with back-references; g and y do not matter."""
+    native = _native(source, flags)
+    return text.rlike(native) if native is not None else _counted(source, flags, True)(text) > 0
 
 
 def replacement_parts(replacement: str, groups: int, names: list[str | None]) -> list[tuple[str, str]]:
@@ -560,13 +579,13 @@ def replace(text: Column, source: str, flags: str, replacement: str) -> Column:
     return each(text)
 
 
-def bench(cases: list[str], source: str, flags: str = "") -> list[bool]:
-    """Whether each of a few short texts matches anywhere."""
+def bench(cases: list[str], source: str, flags: str = "", most: int | None = None, longest: int | None = None) -> list[bool]:
+    """Whether each of a few texts matches anywhere; ``most`` and ``longest`` cut the list and the texts where asked for."""
     plain = "".join(c for c in parse(source, flags).flags if c not in "gy")
-    return [bool(run(source, plain, t[:2000])[0]) for t in cases[:20]]
+    return [bool(run(source, plain, t[:longest])[0]) for t in cases[:most]]
 
 
-def highlight(text: str, source: str, flags: str = "g", cap: int = CAP) -> list[tuple[str, bool]]:
+def highlight(text: str, source: str, flags: str = "g", cap: int | None = None) -> list[tuple[str, bool]]:
     """The text as runs, matched or not; an empty match is an empty run."""
     out, at = [], 0
     for m in run(source, flags, text, cap)[0]:

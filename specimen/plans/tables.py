@@ -78,7 +78,7 @@ count(*) FILTER ({_POPULATED} AND raw <> trimmed) AS n_padded, CAST(coalesce(sum
 
 @register(f"WITH c AS ({_CELLS}), {duck_class('c')} {_SCAN}")
 def csv_column_scan(spark, sf_dir):
-    return _each(spark, sf_dir, lambda f: P.scan(f).drop("top_n"))
+    return _each(spark, sf_dir, lambda f: P.scan(f).drop("top_n", "null_words"))
 
 
 _DOMINANT = """s AS ({scan}), f AS (SELECT *, n_integer + n_decimal AS fn, n_date + n_datetime AS ft, greatest(n_integer + n_decimal, n_date + n_datetime, n_boolean, n_text) AS most FROM s),
@@ -115,7 +115,7 @@ def csv_cell_classes(spark, sf_dir):
     return out.select("event_id", "trimmed", "class", F.round(F.col("num.value") * 100).cast("bigint").alias("cents"))
 
 
-_STATS = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount"]
+_STATS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @register(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS count, printf('%.2f', CAST(min({c}) AS DOUBLE)) AS min, printf('%.2f', CAST(max({c}) AS DOUBLE)) AS max, printf('%.3f', CAST(median({c}) AS DOUBLE)) AS median, count(*) FILTER ({c} = 0) AS zeros, count(*) FILTER ({c} < 0) AS negatives FROM lineitem" for c in _STATS))
@@ -143,12 +143,16 @@ def csv_samples(spark, sf_dir):
     return P.samples(P.to_cells(table(spark, sf_dir, "orders"), PROFILED["orders"], F.col("o_orderkey"))).select("name", F.col("rank").cast("bigint").alias("rank"), "raw")
 
 
-_DUP = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"]
+# every column of lineitem; a hundredth of the rows comes a second time, and one row in five hundred a third time
+_AGAIN = "CASE WHEN (l_orderkey * 7 + l_linenumber) % 500 = 0 THEN 3 WHEN (l_orderkey * 7 + l_linenumber) % 100 = 0 THEN 2 ELSE 1 END"
+_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-@register(f"SELECT array_to_string([{', '.join(f'CAST({c} AS VARCHAR)' for c in _DUP)}], '|') AS fields, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+@register(f"SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_shipdate AS VARCHAR) AS shipped, sum({_AGAIN})::BIGINT AS n FROM lineitem GROUP BY {', '.join(_COLS)} HAVING sum({_AGAIN}) > 1")
 def csv_duplicate_rows(spark, sf_dir):
-    return P.duplicate_rows(table(spark, sf_dir, "lineitem"), _DUP).select(F.array_join("fields", "|").alias("fields"), "n")
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.explode(F.sequence(F.lit(1), F.expr(_AGAIN)))).drop("k")
+    at = lambda c: F.get("fields", F.lit(_COLS.index(c)))
+    return P.duplicate_rows(rows.select(*_COLS)).select(at("l_orderkey").cast("bigint").alias("l_orderkey"), at("l_linenumber").cast("int").alias("l_linenumber"), at("l_quantity").cast("double").alias("l_quantity"), at("l_shipdate").alias("shipped"), "n")
 
 
 _SEGMENT = "CASE c_custkey % 6 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN c_mktsegment || ' ' WHEN 2 THEN substr(c_mktsegment, 1, 3) || '.' || substr(c_mktsegment, 4) WHEN 3 THEN c_mktsegment || '-x' WHEN 4 THEN c_mktsegment || ' x' ELSE c_mktsegment END"

@@ -122,10 +122,10 @@ def phrased(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), piece, F.lit("\n")).alias("t"))
 
 
-def _phrase_sql(phrases: str) -> str:
+def _phrase_sql(phrases) -> str:
     """Every character that is no word's is doubled, so that one phrase's right edge is left for the next one's left."""
     edge = r"[^\p{L}\p{N}_]"
-    alts = sorted(phrases.split("|"), key=lambda p: (-len(p), p))
+    alts = sorted(phrases, key=lambda p: (-len(p), p))
     body = "|".join(rf"[{WS}-]+".join(re.sub(r"(\W)", r"\1\1", w) for w in re.split(r"[\s-]+", p)) for p in alts).replace("'", "''")
     straight = """translate(t, '‘’“”', '''''""')"""
     doubled = rf"regexp_replace({straight}, '({edge})', '\1\1', 'g')"
@@ -171,7 +171,7 @@ def pairs(spark, sf_dir) -> DataFrame:
 
 @register(f"""SELECT conv_id, turn, CASE WHEN a = b THEN 'identical' WHEN a = '' OR b = '' THEN 'empty-vs-nonempty' WHEN replace(a, chr(13) || chr(10), chr(10)) = replace(b, chr(13) || chr(10), chr(10)) THEN 'line-endings' WHEN {_SP.replace('{x}', 'a')} = {_SP.replace('{x}', 'b')} THEN 'whitespace' WHEN lower(a) = lower(b) THEN 'case' WHEN lower({_SP.replace('{x}', 'a')}) = lower({_SP.replace('{x}', 'b')}) THEN 'cosmetic' ELSE 'different' END AS kind FROM (SELECT conv_id, turn, text AS a, {_VARIANT} AS b FROM conversations)""")
 def diff_verdict(spark, sf_dir):
-    return pairs(spark, sf_dir).select("conv_id", "turn", diff.verdict_column("a", "b").alias("v")).select("conv_id", "turn", "v.kind")
+    return pairs(spark, sf_dir).select("conv_id", "turn", diff.verdict_native(F.col("a"), F.col("b")).alias("kind"))
 
 
 @register("SELECT conv_id, turn, CASE WHEN turn % 6 = 5 THEN 2 ELSE 0 END AS inserted, 0 AS deleted FROM conversations")
@@ -193,7 +193,7 @@ def time_unix_units(spark, sf_dir):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     each = F.array(*[F.struct(F.lit(u).alias("unit"), v.cast("string").alias("raw")) for u, v in (("seconds", F.floor(us / 1000000)), ("milliseconds", F.floor(us / 1000)), ("microseconds", us), ("nanoseconds", us * 1000))])
     rows = table(spark, sf_dir, "events").select("event_id", F.inline(each))
-    return rows.select("event_id", "unit", T.parse_column(F.col("raw"), "unix")["epoch_ns"].cast("string").alias("epoch_ns"))
+    return rows.select("event_id", "unit", T.unix_native(F.col("raw"), F.col("unit")).cast("string").alias("epoch_ns"))
 
 
 @register("SELECT event_id, CASE event_id % 4 WHEN 3 THEN 'ambiguous' WHEN 1 THEN 'local' ELSE 'instant' END AS status, CASE event_id % 4 WHEN 3 THEN NULL ELSE strftime(ts - CASE event_id % 4 WHEN 2 THEN INTERVAL 345 MINUTE ELSE INTERVAL 0 MINUTE END, '%Y-%m-%dT%H:%M:%S') || CASE event_id % 4 WHEN 1 THEN '' ELSE 'Z' END END AS iso FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
@@ -263,7 +263,7 @@ def bingo_deck(spark, sf_dir):
 @register("WITH m AS (SELECT event_id, event_id * 2654435761 % 33554432 AS k FROM events), x AS (" + " UNION ALL ".join(f"SELECT event_id, '{n}' AS line FROM m WHERE " + " AND ".join(f"(k >> {i}) & 1 = 1" for i in at if i != B.FREE) for n, at in B.LINES) + ") SELECT * FROM x")
 def bingo_lines(spark, sf_dir):
     mask = F.col("event_id") * F.lit(2654435761) % F.lit(33554432)
-    return table(spark, sf_dir, "events").select("event_id", F.explode(B.completed(B.marks_of_mask(mask))).alias("line"))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(B.completed_of_mask(mask)).alias("line"))
 
 
 @register()

@@ -102,3 +102,32 @@ def test_bingo(spark):
     assert len(s) == 4 and s == s.upper()
     with pytest.raises(ValueError):
         B.card(["x"])
+
+
+def test_patches_and_scripts_of_long_texts_take_linear_space():
+    rng = random.Random(11)
+    a = [f"line {rng.randrange(400)}" for _ in range(3000)]
+    b = [x if rng.random() > 0.2 else f"new {rng.randrange(400)}" for x in a if rng.random() > 0.1]
+    ops, degraded = D.edit_script(a, b)
+    assert not degraded and len(ops) - ops.count("=") == len(a) + len(b) - 2 * D.lcs_length(a, b)
+    x, y = "\n".join(a) + "\n", "\n".join(b) + "\n"
+    assert apply_patch(x, D.unified(x, y)) == b
+
+
+def test_limits_are_asked_for():
+    a, b = "ab" * 7000, "ab" * 7000 + "c"
+    assert not D.compare(a, b, "char")["disabled"] and D.compare(a, b, "char", gate=D.CHAR_GATE)["disabled"]
+    many = " ".join(f"w{k}" for k in range(600)), " ".join(f"w{k}" if k % 2 else f"v{k}" for k in range(600))
+    assert len(D.compare(*many)["segments"]) == 900 and D.compare(*many, cap=60)["capped"] and not D.compare(*many)["capped"]
+    assert D.subtle("a" * 21_000, "a" * 21_000 + "\u200b") and not D.subtle("a" * 21_000, "a" * 21_000 + "\u200b", gate=D.SUBTLE_GATE)
+    assert D.places("ab\r\ncd\ne", [0, 1, 4, 6, 7]) == [(1, 1), (1, 2), (2, 1), (2, 3), (3, 1)] and D.nfkc("\ufb01") == "fi"
+
+
+def test_lines_of_marks_and_masks_agree(spark):
+    from specimen.operators import bingo
+
+    rng = random.Random(12)
+    masks = [rng.getrandbits(25) | rng.getrandbits(25) for _ in range(300)] + [0, (1 << 25) - 1]
+    df = spark.createDataFrame([(m,) for m in masks], "m long")
+    for r in df.select("m", bingo.completed(bingo.marks_of_mask(F.col("m"))).alias("a"), bingo.completed_of_mask(F.col("m")).alias("b")).collect():
+        assert r["a"] == r["b"]

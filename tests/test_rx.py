@@ -56,3 +56,11 @@ def test_columns(spark):
 def test_matches_are_not_capped_by_default(spark):
     df = spark.createDataFrame([(1, "a" * 1500)], "id long, t string")
     assert [r["status"] for r in R.matches(df, "id", "t", "a").collect()] == ["match"] * 1500
+
+
+def test_both_paths_count_alike_also_with_back_references(spark):
+    cases = [(r"^(?:(a)|b)\1$", "", ["b", "aa", "a", "ab"]), (r"(a)?\1b", "g", ["b", "aab", "aabb"]), (r"(?<q>['\"]).*?\k<q>", "g", ["'a' \"b\"", "'"]), (r"a+", "g", ["baaca"])]
+    for source, flags, texts in cases:
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = [tuple(r) for r in df.select("t", R.count(F.col("t"), source, flags).alias("n"), R.test(F.col("t"), source, flags).alias("found")).collect()]
+        assert got == [(t, len(R.run(source, "".join(set(flags) | {"g"}), t)[0]), bool(R.run(source, "", t)[0])) for t in texts]
