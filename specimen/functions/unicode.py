@@ -41,6 +41,18 @@ LOOKALIKES = {
         "A": "АΑ", "B": "ВΒ", "E": "ЕΕ", "K": "КΚ", "M": "МΜ", "H": "НΗ", "O": "ОΟ", "P": "РΡ", "C": "С", "T": "ТΤ", "X": "ХΧ", "I": "Ι", "N": "Ν", "Z": "Ζ",
     },
 }
+#: Short names of characters that cannot be seen.
+SHORT = {
+    "\xa0": "NBSP", "\u1680": "OGSP", "\u2000": "NQSP", "\u2001": "MQSP", "\u2002": "ENSP", "\u2003": "EMSP", "\u2004": "3/M", "\u2005": "4/M", "\u2006": "6/M",
+    "\u2007": "FIGSP", "\u2008": "PUNSP", "\u2009": "THSP", "\u200a": "HRSP", "\u202f": "NNBSP", "\u205f": "MMSP", "\u3000": "IDSP",
+    "\x0b": "VT", "\x0c": "FF", "\x85": "NEL", "\u2028": "LSEP", "\u2029": "PSEP", "\u200b": "ZWSP", "\u200c": "ZWNJ", "\u200d": "ZWJ", "\u2060": "WJ",
+    "\u2061": "f()", "\u2062": "(×)", "\u2063": "(,)", "\u2064": "(+)", "\u034f": "CGJ", "\u180e": "MVS", "\ufeff": "ZWNBSP", "\u115f": "HCF", "\u1160": "HJF",
+    "\u3164": "HF", "\uffa0": "HHF", "\u2800": "BRZ", "\xad": "SHY", "\u061c": "ALM", "\u200e": "LRM", "\u200f": "RLM", "\u202a": "LRE", "\u202b": "RLE",
+    "\u202c": "PDF", "\u202d": "LRO", "\u202e": "RLO", "\u2066": "LRI", "\u2067": "RLI", "\u2068": "FSI", "\u2069": "PDI", "\ufe0e": "VS15", "\ufe0f": "VS16",
+    "\ufffc": "OBJ", "\ufffd": "REPL",
+}
+#: Short names of categories, for characters without one of their own.
+SHORT_OF_CATEGORY = {"unusual-space": "SP", "vertical-whitespace": "VWS", "zero-width": "ZW", "bidi": "BIDI", "variation-selector": "VS", "tag": "TAG", "private-use": "PUA", "noncharacter": "NCHR", "blank": "BLANK"}
 #: What typographic quotes and dashes are cleaned to.
 CLEAN_QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"'}
 CLEAN_DASHES = "‐‑‒–—―−－"

@@ -106,19 +106,29 @@ def stats(text: Column) -> Column:
     return F.struct(F.length(text).cast("long").alias("code_points"), utf16_length(text).cast("long").alias("utf16_units"), F.octet_length(text).cast("long").alias("bytes"), graphemes(text).alias("graphemes"), (n(BREAK) + 1).alias("lines"), n(WORD).alias("words"), n(" ").alias("spaces"), n(r"\t").alias("tabs"))
 
 
+def reveal(text: str) -> str:
+    """The text with what cannot be seen spelled out: ``[ZWSP]``, ``[LF]``; a look-alike stands beside its code point."""
+
+    def shown(m) -> str:
+        c = m[0]
+        if c in ("\n", "\r", "\r\n"):
+            return {"\n": "[LF]", "\r": "[CR]", "\r\n": "[CRLF]"}[c] + "\n"
+        if c == "\t":
+            return "[TAB]"
+        if c == "\ufeff" and m.start() == 0:
+            return "[BOM]"
+        kind = U.classify(ord(c))
+        if kind is None:
+            return c
+        spelled = f"U+{ord(c):04X}"
+        if kind[2] is not None:
+            return f"{c}({spelled})"
+        caret = f"^{chr(ord(c) + 64)}" if c < " " else "^?" if c == "\x7f" else None
+        return f"[{U.SHORT.get(c) or U.SHORT_OF_CATEGORY.get(kind[0]) or caret or spelled}]"
+
+    return regex.sub(rf"\r\n|[\r\n]|{_pattern().pattern}", shown, text)
+
+
 @arrow("string")
 def expanded(s: pd.Series) -> pd.Series:
-    """The text with every special character and line end spelled out: ``[U+200B]``, ``[LF]``."""
-
-    def show(x):
-        out = []
-        for k, c in enumerate(x):
-            if c in "\n\r\t":
-                out.append({"\n": "[LF]\n", "\r": "[CR]", "\t": "[TAB]"}[c])
-            elif c == "﻿" and k == 0:
-                out.append("[BOM]")
-            else:
-                out.append(f"[U+{ord(c):04X}]" if U.classify(ord(c)) and c not in U._LOOKS else c)
-        return "".join(out)
-
-    return s.map(lambda x: None if x is None else show(x))
+    return s.map(lambda x: None if x is None else reveal(x))

@@ -332,8 +332,10 @@ def relative(delta_seconds: Column) -> Column:
 
 def epoch_seconds(ns: Column) -> Column:
     """Exact decimal seconds without trailing zeros."""
-    s = (ns.cast("decimal(38,0)") / F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,9)").cast("string")
-    return F.regexp_replace(s, r"\.?0+$", "")
+    digits = F.abs(ns.cast("decimal(38,0)")).cast("string")  # a division would round to six places
+    digits = F.lpad(digits, F.greatest(F.lit(10), F.length(digits)), F.lit("0"))
+    whole, rest = F.substring(digits, F.lit(1), F.length(digits) - 9), F.regexp_replace(F.substring(digits, F.length(digits) - 8, F.lit(9)), "0+$", "")
+    return F.concat(F.when(ns < 0, "-").otherwise(""), whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
 
 
 def interpret(df: DataFrame, text_col: str, zone: str = "UTC", mode: str = "auto", unit: str = "auto", system: str = "1900") -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries of the engine's own operators and the SQL that checks them."""
 
-from . import tables, texts
+from . import cases, tables, texts
 
-QUERIES = {**tables.QUERIES, **texts.QUERIES}
-ORACLES = {**tables.ORACLES, **texts.ORACLES}
+QUERIES = {**tables.QUERIES, **texts.QUERIES, **cases.QUERIES}
+ORACLES = {**tables.ORACLES, **texts.ORACLES, **cases.ORACLES}

@@ -71,7 +71,7 @@ def test_inspection(spark):
     assert got == [(0, 1, 1, "bom"), (6, 2, 2, "zero-width"), (8, 2, 4, "tab"), (9, 2, 5, "confusable-letter"), (11, 3, 1, "bidi")]
     s = df.select(inspect.stats(F.col("t")).alias("s"), inspect.line_endings(F.col("t")).alias("e"), inspect.trailing_whitespace(F.lit("a \nb\t\t")).alias("w"), inspect.expanded("t").alias("x")).first()
     assert s["s"]["utf16_units"] == s["s"]["code_points"] + 1 and s["e"]["mixed"] and s["e"]["dominant"] == "lf" and [tuple(x) for x in s["w"]] == [(1, 1), (2, 2)]
-    assert s["x"].startswith("[BOM]ab[CR][LF]\nc[U+200B]d[TAB]е")
+    assert s["x"].startswith("[BOM]ab[CRLF]\nc[ZWSP]d[TAB]е(U+0435)")
     assert U.classify(ord("ａ"))[2] == "a" and U.classify(0x1F600) is None and U.classify(0xFFFE)[0] == "noncharacter"
     top = inspect.summaries(inspect.findings(df, "id", "t")).first()
     assert top["category"] == "bidi"
