@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python: bounds the memory of a Python worker however long the texts are.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -107,5 +109,32 @@ def ranges(spark: SparkSession, file: str):
         stream.close()
 
 
+#: Words of a sieve at most: what is broadcast is a row of two longs for each (about 8 MB in memory).
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(hashes: DataFrame, column: str = "h") -> Callable[[DataFrame, str], DataFrame]:
+    """``marked(df, h)``: a frame with ``__sp_pass``, which is false only where the long in ``h`` is not among the hashes.
+
+    A Bloom filter, broadcast as a table of at most ``SIEVE_WORDS`` words.  Where the hashes are very many it lets more pass, up
+    to everything: what passes is to be looked up exactly."""
+    n = hashes.count()
+    words = 64
+    while words < SIEVE_WORDS and words * 4 < n:  # sixteen bits and more a hash
+        words *= 2
+    bit = lambda h, k: F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, {k}) & 63 as int))")
+    mask = lambda h: bit(h, 40).bitwiseOR(bit(h, 46)).bitwiseOR(bit(h, 52))
+    word = lambda h: F.pmod(F.col(h), F.lit(words)).alias("__sp_word")
+    made = hashes.select(word(column), mask(column).alias("m")).groupBy("__sp_word").agg(F.bit_or("m").alias("__sp_mask"))
+
+    kept = keep(made, "sieve")
+
+    def marked(df: DataFrame, h: str) -> DataFrame:
+        both = df.withColumn("__sp_word", word(h)).join(F.broadcast(kept), "__sp_word", "left")
+        return both.withColumn("__sp_pass", F.coalesce(F.col("__sp_mask").bitwiseAND(mask(h)) == mask(h), F.lit(False))).drop("__sp_word", "__sp_mask")
+
+    return marked
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, partitions, temporary, tune
+from ._shared import keep, partitions, sieve, temporary, tune
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -384,8 +384,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group of near copies left: the one with the smallest id (rows without one come last).
 
     A row is named by its id and an MD5 of its text; rows that share the name are exact copies, of which one stays."""
-    text = F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8"))
-    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), text.isNull().alias("void"), F.coalesce(text, F.lit("")).alias("text"))
+    text = F.unhex(F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8")))
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), text.isNull().alias("void"), F.coalesce(text, F.lit(b"")).alias("text"))
     with temporary(docs.sparkSession) as lasts:
         rows = keep(looked(docs, name, text_col), "looked")
         look = (lambda fps: links(fps).union(look_links(rows))) if lookalikes else links
@@ -393,12 +393,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hashed = lambda df: df.select(F.xxhash64("row").alias("h"), "row")
         gone = lasts(keep(hashed(found.where("row != low").select("row").distinct()), "gone"))
         twice = lasts(keep(hashed(found.where("row = low").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "twice"))
+    # only rows that the sieve takes for one of those to be looked up are joined; all others are not shuffled
     named = docs.select("*", name.alias("__sp_row")).withColumn("__sp_h", F.xxhash64("__sp_row"))
+    named = sieve(gone.select("h").union(twice.select("h")))(named, "__sp_h")
     at = lambda few: (F.col("__sp_h") == few["h"]) & (F.col("__sp_row") == few["row"])
-    stay = named.join(gone, at(gone), "left_anti")
+    sure = named.where(~F.col("__sp_pass")).select(*docs.columns)
+    stay = named.where("__sp_pass").join(gone, at(gone), "left_anti")
     if twice.isEmpty():
-        return stay.select(*docs.columns)
-    alone = stay.join(twice, at(twice), "left_anti").select(*docs.columns)
+        return sure.union(stay.select(*docs.columns))
+    alone = sure.union(stay.join(twice, at(twice), "left_anti").select(*docs.columns))
     # copies under one name: all columns but the text, as one string, decide which stays; the minimum is partially aggregated
     rest = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text_col]))
     one = stay.join(twice, at(twice), "left_semi").groupBy("__sp_h", "__sp_row").agg(F.min_by(F.struct(*docs.columns), rest).alias("one"))

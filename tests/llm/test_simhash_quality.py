@@ -278,3 +278,13 @@ def test_rows_are_dropped_and_not_ids(docs_of):
     assert stay([(3, body), (8, body), (8, other)]) == [(3, body, "s"), (8, other, "s")]
     assert stay([(8, body, "en", "z"), (8, body, "en", "a"), (8, body, "en", "m")]) == [(8, body, "a")]
     assert [r["doc_id"] for r in simhash.deduplicate(docs_of([(7, None), (7, None), (7, "")])).collect()] == [7]
+
+
+def test_a_sieve_loses_nothing_at_any_size(spark):
+    from specimen.llm import _shared
+
+    for n in (0, 5, 3000):
+        some = spark.range(n).select(F.xxhash64("id").alias("h"))
+        marked = _shared.sieve(some)(spark.range(6000).select("id", F.xxhash64("id").alias("h"), F.lit(1).alias("mask")), "h")
+        passed = {r["id"] for r in marked.where("__sp_pass").collect()}
+        assert marked.count() == 6000 and set(range(n)) <= passed and len(passed) - n < 600
