@@ -130,8 +130,9 @@ def parse_unix(raw: str, unit: str = "auto") -> dict:
     return _fail("out-of-range")
 
 
-def parse_serial(raw: str, system: str = "1900") -> dict:
-    """A spreadsheet serial.  1900: 0 is no day, 60 is a day that never was, later ones are shifted by one."""
+def parse_serial(raw: str, system: str = "1900", last_year: int | None = 9999) -> dict:
+    """A spreadsheet serial.  1900: 0 is no day, 60 is a day that never was, later ones are shifted by one.  Spreadsheets end
+    with the year 9999; without a ``last_year`` the count goes on as far as all instants do."""
     m = _NUMBER.fullmatch(raw)
     if not m:
         return _fail("not-numeric")
@@ -146,7 +147,7 @@ def parse_serial(raw: str, system: str = "1900") -> dict:
         return _fail("excel-phantom")
     else:
         day = day_number(1899, 12, 31) + days - (days > 60)
-    if day > day_number(9999, 12, 31):
+    if day * DAY > LIMIT - DAY or (last_year is not None and day > day_number(last_year, 12, 31)):
         return _fail("out-of-range")
     time = min(DAY - 1, _half_up(int(frac or 0) * DAY, 10 ** len(frac)))
     return {"status": "local", "kind": "excel", "wall_ns": day * DAY + time}
@@ -164,7 +165,7 @@ def loose_candidates(raw: str) -> list[str]:
     return [f"{y:04d}-{mo:02d}-{d:02d}" for y, mo, d in tries if 1 <= mo <= 12 and 1 <= d <= month_days(y, mo) and y <= 9999]
 
 
-def parse(raw: str | None, mode: str = "auto", unit: str = "auto", system: str = "1900") -> dict:
+def parse(raw: str | None, mode: str = "auto", unit: str = "auto", system: str = "1900", last_year: int | None = 9999) -> dict:
     """status: empty, instant (``epoch_ns``), local (``wall_ns``), ambiguous (``candidates``) or error (``code``)."""
     t = py_trim(raw or "")
     if not t:
@@ -172,7 +173,7 @@ def parse(raw: str | None, mode: str = "auto", unit: str = "auto", system: str =
     if mode == "unix":
         return parse_unix(t, unit)
     if mode == "excel":
-        return parse_serial(t, system)
+        return parse_serial(t, system, last_year)
     iso = parse_iso(t)
     if mode == "local":
         if iso and (m := _ISO.fullmatch(t)) and m[8]:
@@ -192,7 +193,7 @@ _PARSED = "status string, kind string, unit string, epoch_ns decimal(38,0), wall
 _FIELDS = [x.split()[0] for x in _PARSED.split(", ")]
 
 
-def parse_column(text: Column, mode: str = "auto", unit: str = "auto", system: str = "1900") -> Column:
+def parse_column(text: Column, mode: str = "auto", unit: str = "auto", system: str = "1900", last_year: int | None = 9999) -> Column:
     """``parse`` over a column, as a struct; ``iso`` shows the instant or the wall time."""
     from decimal import Decimal
 
@@ -200,7 +201,7 @@ def parse_column(text: Column, mode: str = "auto", unit: str = "auto", system: s
     def run(s: pd.Series) -> pd.DataFrame:
         out = []
         for raw in s:
-            r = parse(raw, mode, unit, system)
+            r = parse(raw, mode, unit, system, last_year)
             ns = r.get("epoch_ns", r.get("wall_ns"))
             r["iso"] = None if ns is None else show(ns, "Z" if "epoch_ns" in r else "")
             for k in ("epoch_ns", "wall_ns"):

@@ -41,6 +41,11 @@ def test_serials(raw, system, iso):
     assert T.show(T.parse(raw, "excel", "auto", system)["wall_ns"], "") == iso
 
 
+def test_serials_beyond_the_last_year_of_spreadsheets():
+    assert [T.show(T.parse(x, "excel", "auto", "1900", None)["wall_ns"], "") for x in ("2958465", "2958466")] == ["9999-12-31T00:00:00", "+010000-01-01T00:00:00"]
+    assert T.parse("2958466", "excel", "auto", "1900", 10_000)["status"] == "local" and T.parse("100025569", "excel", "auto", "1900", None)["code"] == "out-of-range"
+
+
 def test_serial_errors():
     assert [T.parse(x, "excel").get("code") for x in ("0", "60", "-1", "2958466", "2958467", "x")] == ["excel-zero", "excel-phantom", "excel-negative", "out-of-range", "out-of-range", "not-numeric"]
 
