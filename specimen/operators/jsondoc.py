@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -15,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import unicode as U
-from ..functions.jsre import trim
+from ..functions.jsre import py_trim, trim
 from ..functions.udf import arrow
-from .findings import finding, gather
+from .findings import SCHEMA, TIER, finding, gather
 
 _WS = re.compile(r"[ \t\n\r]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
@@ -279,10 +281,14 @@ def search(n: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     return hit.limit(limit) if limit is not None else hit
 
 
-def _hidden_class() -> str:
+def _hidden_ranges() -> list[tuple[int, int]]:
     look = set("".join(U._LOOKS)) | set("\t")
     singles = sorted({ord(c) for c in U.SPACES + "".join(U.LISTED.values()) if c not in look})
-    return "[" + U.java_class([(c, c) for c in singles] + [(0, 8), (0x0E, 0x1F), (0x7F, 0x9F), *U.BIDI, *U.VARIATION, *U.IGNORABLE]) + r"\p{Cf}\p{Co}]"
+    return [(c, c) for c in singles] + [(0, 8), (0x0E, 0x1F), (0x7F, 0x9F), *U.BIDI, *U.VARIATION, *U.IGNORABLE]
+
+
+def _hidden_class() -> str:
+    return "[" + U.java_class(_hidden_ranges()) + r"\p{Cf}\p{Co}]"
 
 
 def hidden(text: Column) -> Column:
@@ -290,25 +296,52 @@ def hidden(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, _hidden_class(), 0), F.lit(""))
 
 
+_HIDDEN = re.compile("[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in _hidden_ranges()) + "]")
+
+
+def has_hidden(s: str) -> bool:
+    """``hidden`` for one string."""
+    if s.isascii() and s.isprintable():
+        return False
+    return _HIDDEN.search(s) is not None or any(unicodedata.category(c) in ("Cf", "Co") for c in s if not c.isascii())
+
+
 CATEGORY = {"keys": 0, "numbers": 1, "types": 2, "shape": 3, "nulls": 4, "strings": 5, "structure": 6, "size": 7, "empty": 8}
 
 
+#: Rules that count values of a document: id, severity, category, title, detail, and how many it takes.
+_TALLIES = [
+    ("keys-whitespace", "notice", "keys", "Spaces around keys", "Lookups by the bare name miss them.", 1),
+    ("keys-empty", "info", "keys", "Empty keys", "A key without a name.", 1),
+    ("keys-hidden", "notice", "keys", "Keys with characters that cannot be seen", "They look like other keys and are not.", 1),
+    ("numbers-unsafe", "warning", "numbers", "Numbers that double precision cannot hold", "Readers that use doubles will change them.", 1),
+    ("strings-hidden", "notice", "strings", "Strings with characters that cannot be seen", "They differ from what is shown.", 1),
+    ("size-array", "info", "size", "Large arrays", "Larger than is usual.", 1),
+    ("size-object", "info", "size", "Large objects", "Larger than is usual.", 1),
+    ("size-string", "info", "size", "Large strings", "Larger than is usual.", 1),
+    ("empty-arrays", "info", "empty", "Empty arrays", "They hold nothing.", MANY_EMPTY),
+    ("empty-objects", "info", "empty", "Empty objects", "They hold nothing.", MANY_EMPTY),
+    ("empty-strings", "info", "empty", "Empty strings", "A large part of all strings.", 5),
+]
+
+
 def _tallied(n: DataFrame) -> DataFrame:
     """Rules that count values of a document, all in one aggregate: a count and the first examples of each."""
     key, kind, at = F.col("key"), F.col("kind"), "pointer"
-    rules = [
-        ("keys-whitespace", "notice", "keys", "Spaces around keys", "Lookups by the bare name miss them.", (key != "") & (key != trim(key)), at, 1),
-        ("keys-empty", "info", "keys", "Empty keys", "A key without a name.", key == "", at, 1),
-        ("keys-hidden", "notice", "keys", "Keys with characters that cannot be seen", "They look like other keys and are not.", hidden(key).isNotNull(), at, 1),
-        ("numbers-unsafe", "warning", "numbers", "Numbers that double precision cannot hold", "Readers that use doubles will change them.", (kind == "number") & unsafe_number(F.col("raw")).isNotNull(), "raw", 1),
-        ("strings-hidden", "notice", "strings", "Strings with characters that cannot be seen", "They differ from what is shown.", hidden(F.col("value")).isNotNull(), at, 1),
-        ("size-array", "info", "size", "Large arrays", "Larger than is usual.", (kind == "array") & (F.col("child_count") >= LONG_ARRAY), at, 1),
-        ("size-object", "info", "size", "Large objects", "Larger than is usual.", (kind == "object") & (F.col("child_count") >= WIDE_OBJECT), at, 1),
-        ("size-string", "info", "size", "Large strings", "Larger than is usual.", F.col("string_length") >= LONG_STRING, at, 1),
-        ("empty-arrays", "info", "empty", "Empty arrays", "They hold nothing.", (kind == "array") & (F.col("child_count") == 0), at, MANY_EMPTY),
-        ("empty-objects", "info", "empty", "Empty objects", "They hold nothing.", (kind == "object") & (F.col("child_count") == 0), at, MANY_EMPTY),
-        ("empty-strings", "info", "empty", "Empty strings", "A large part of all strings.", F.col("value") == "", at, 5),
+    when = [
+        ((key != "") & (key != trim(key)), at),
+        (key == "", at),
+        (hidden(key).isNotNull(), at),
+        ((kind == "number") & unsafe_number(F.col("raw")).isNotNull(), "raw"),
+        (hidden(F.col("value")).isNotNull(), at),
+        ((kind == "array") & (F.col("child_count") >= LONG_ARRAY), at),
+        ((kind == "object") & (F.col("child_count") >= WIDE_OBJECT), at),
+        (F.col("string_length") >= LONG_STRING, at),
+        ((kind == "array") & (F.col("child_count") == 0), at),
+        ((kind == "object") & (F.col("child_count") == 0), at),
+        (F.col("value") == "", at),
     ]
+    rules = [(*r[:5], *w, r[5]) for r, w in zip(_TALLIES, when, strict=True)]
     flags = n.select("doc_id", "depth", "kind", *[F.when(r[5], F.col(r[6])).alias(f"x{i}") for i, r in enumerate(rules)])
     g = flags.groupBy("doc_id").agg(F.max("depth").alias("depth"), F.count_if(F.col("kind") == "string").alias("strings"), *[F.sort_array(F.collect_list(f"x{i}")).alias(f"x{i}") for i in range(len(rules))])
     tier = lambda sev, cat: F.lit({"warning": 0, "notice": 1, "info": 2}[sev] * 1000 + CATEGORY[cat] * 10)
@@ -328,7 +361,8 @@ def _tallied(n: DataFrame) -> DataFrame:
 
 
 def findings(n: DataFrame) -> DataFrame:
-    """All findings, ``subject`` being the document.  ``n`` should be cached: every rule groups it."""
+    """All findings, ``subject`` being the document.  ``n`` should be cached: every rule groups it.  Where the texts are at
+    hand, ``document_findings`` has the same in one pass."""
     d, parts = F.col("doc_id"), []
 
     def out(rows, rule, sev, cat, title, detail, count, ex=None):
@@ -351,6 +385,134 @@ def findings(n: DataFrame) -> DataFrame:
     return gather(n.sparkSession, parts)
 
 
+def find(found: list[Node]) -> list[tuple]:
+    """The findings on one scanned document: ``(id, severity, category, title, detail, n, examples)``.  The rules of
+    ``findings``, places being compared by their pointers as there."""
+    out: list[tuple] = []
+    doubled: dict[tuple[str, str], int] = {}
+    cased: dict[tuple[str, str], set[str]] = {}
+    kinds: dict[str, set[str]] = {}
+    elements: dict[str, list[str]] = {}  # objects by the array that they are elements of
+    members: dict[str, dict[str, Node]] = {}  # by object: of repeated keys the last
+    padded, unnamed, hid_keys, unsafe, hid_strings, arrays, objects, strings, no_items, no_members, blank = ([] for _ in range(11))
+    n_strings = depth = 0
+    for x in found:
+        key, kind, parent, at = x.key, x.kind, x.parent, x.pointer
+        depth = max(depth, x.depth)
+        if key is not None:
+            members.setdefault(parent, {})[key] = x
+            cased.setdefault((parent, key.lower()), set()).add(key)
+            if x.dup:
+                doubled[parent, key] = 1
+            if key == "":
+                unnamed.append(at)
+            elif key != py_trim(key):
+                padded.append(at)
+            if has_hidden(key):
+                hid_keys.append(at)
+        elif parent is not None:
+            if kind != "null":
+                kinds.setdefault(parent, set()).add(kind)
+            if kind == "object":
+                elements.setdefault(parent, []).append(at)
+        if kind == "string":
+            n_strings += 1
+            if x.value == "":
+                blank.append(at)
+            elif has_hidden(x.value):
+                hid_strings.append(at)
+            if len(x.value) >= LONG_STRING:
+                strings.append(at)
+        elif kind == "number":
+            if _unsafe(x.raw):
+                unsafe.append(x.raw)
+        elif kind == "array":
+            if x.children >= LONG_ARRAY:
+                arrays.append(at)
+            elif not x.children:
+                no_items.append(at)
+        elif kind == "object":
+            if x.children >= WIDE_OBJECT:
+                objects.append(at)
+            elif not x.children:
+                no_members.append(at)
+
+    def fire(rule: str, sev: str, cat: str, title: str, detail: str, ex: list[str], n: int | None = None) -> None:
+        out.append((rule, sev, cat, title, detail, len(ex) if n is None else n, sorted(ex)))
+
+    if doubled:
+        fire("dup-keys", "warning", "keys", "A key is repeated within an object", "Parsers keep one of the values and drop the others.", [f"{p}/{k}" for p, k in doubled])
+    case = [" / ".join(sorted(v)) for v in cased.values() if len(v) > 1]
+    if case:
+        fire("keys-case", "notice", "keys", "Keys differ only by case", "They may be meant to be one.", case)
+    mixed = [p for p, v in kinds.items() if len(v) > 1]
+    if mixed:
+        fire("types-mixed-array", "notice", "types", "Arrays of several kinds", "Their elements are not alike.", mixed)
+    for array, own in elements.items():
+        if len(own) < 3:
+            continue
+        shaped = Counter(tuple(sorted(members.get(o, ()))) for o in own)
+        if len(shaped) > 1:
+            fire(f"shape-{array}", "notice", "shape", "Objects of one array differ in their keys", "Some lack keys or have others.", [f"{','.join(k)} x{n}" for k, n in shaped.items()])
+        fields: dict[str, dict[str, list[str]]] = {}  # pointers by key and kind
+        for o in own:
+            for k, x in members.get(o, {}).items():
+                fields.setdefault(k, {}).setdefault(x.kind, []).append(x.pointer)
+        odd: list[list[str]] = []
+        null = []
+        for k, by in fields.items():
+            present, nulls = sum(map(len, by.values())), len(by.pop("null", ()))
+            if present >= 3 and nulls / present >= 0.5:
+                null.append(k)
+            if len(by) > 1:
+                odd += [by[kind] for kind in sorted(by, key=lambda kind: (-len(by[kind]), kind))[1:]]
+        if odd:
+            fire(f"types-field-{array}", "notice", "types", "A field has several kinds", "Its values are not alike over the objects of the array.", [min(p) for p in odd], sum(map(len, odd)))
+        if null:
+            fire(f"null-{array}", "info", "nulls", "Fields that are mostly null", "At least half of their values.", null)
+    for (rule, sev, cat, title, detail, least), ex in zip(_TALLIES, (padded, unnamed, hid_keys, unsafe, hid_strings, arrays, objects, strings, no_items, no_members, blank), strict=True):
+        if len(ex) >= least and (rule != "empty-strings" or len(ex) / n_strings >= 0.2):
+            fire(rule, sev, cat, title, detail, ex)
+    if depth >= DEPTH:
+        fire("structure-depth", "info", "structure", "Very deep nesting" if depth >= 2 * DEPTH else "Deep nesting", "Some readers limit the depth.", [], depth)
+    return out
+
+
+def _unsafe(raw: str) -> bool:
+    if len(raw) < 16:  # neither 2^53 nor, but for an exponent, infinity
+        return "e" in raw.lower() and abs(float(raw)) == float("inf")
+    digits = raw.lstrip("-")
+    return abs(float(raw)) == float("inf") or (digits.isdigit() and int(digits[:17]) > MAX_SAFE)  # strict JSON has no leading zeros
+
+
+def document_findings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``findings(nodes(df, id_col, text_col))`` in one pass over the texts, without a shuffle: each rule looks at one document, and
+    a document is scanned whole anyway.  Rows are documents of their own, also where ids repeat; texts with faults have none."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    types = [*[pa.string()] * 6, pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.int32()]
+
+    def run(batches):
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        for b in batches:
+            rows = []
+            for d, src in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    found = scan(src or "")
+                except JsonError:
+                    continue
+                for rule, sev, cat, title, detail, n, ex in find(found):
+                    rows.append((d, _utf8(rule), sev, cat, title, detail, n, [_utf8(x) for x in ex[:12]], len(ex) > 12, TIER[sev] * 1000 + CATEGORY[cat] * 10))
+                if len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+
+    return df.select(F.col(id_col).cast("long").cast("string"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+
+
 # -- text again ----------------------------------------------------------------------------------------------------------
 def render(src: str, indent: int | None = None, sort_keys: bool = False) -> str:
     """The document anew, scalars and repeated keys as they were written; keys sorted only where none is repeated."""

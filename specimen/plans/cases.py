@@ -197,7 +197,7 @@ _SAMPLES = [('{"a":1,"a":2}', "dup-keys:1"), ('{"id":1,"ID":2}', "keys-case:1"),
 
 
 def _sample_findings(df: DataFrame) -> DataFrame:
-    f = jsondoc.findings(jsondoc.nodes(df, "id", "a"))
+    f = jsondoc.document_findings(df, "id", "a")
     return f.groupBy(F.col("subject").cast("bigint").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "id", "n"))), " ").alias("out"))
 
 
