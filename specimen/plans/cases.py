@@ -33,19 +33,22 @@ def quoted(x: str | int | None) -> str:
     return " || ".join(parts + ([f"'{held}'"] if held or not parts else []))
 
 
-def dealt(spark, sf_dir: str, name: str, cases: list[tuple]) -> DataFrame:
-    """``id`` and the inputs of the case that each row gets, as ``a``, ``b`` and so on; the last of a case is its result."""
+def dealt(spark, sf_dir: str, name: str, cases: list[tuple], spread: bool = False) -> DataFrame:
+    """``id`` and the inputs of the case that each row gets, as ``a``, ``b`` and so on; the last of a case is its result.
+    ``spread``: ids are dealt out to all tasks first, for cases that take time, since one task reads a whole row group."""
     rows = table(spark, sf_dir, name).select(F.col(_SHORT[name]).cast("bigint").alias("id"))
+    if spread:
+        rows = rows.repartition("id")
     k = F.pmod(F.col("id"), F.lit(len(cases))).cast("int")
     pick = lambda j: F.get(F.array(*[F.lit(c[j]) for c in cases]), k).alias("abcd"[j])
     return rows.select("id", *[pick(j) for j in range(len(cases[0]) - 1)])
 
 
-def worked(name: str, source: str, cases: list[tuple], run: Callable[[DataFrame], DataFrame], absent: str | None = None) -> None:
+def worked(name: str, source: str, cases: list[tuple], run: Callable[[DataFrame], DataFrame], absent: str | None = None, spread: bool = False) -> None:
     """Register ``run`` (a frame of ``id`` and inputs to one of ``id`` and ``out``).  Where a case's result is ``absent``, no row comes out."""
 
     def query(spark, sf_dir):
-        return run(dealt(spark, sf_dir, source, cases)).select("id", "out")
+        return run(dealt(spark, sf_dir, source, cases, spread)).select("id", "out")
 
     QUERIES[name] = query
     key = f"CAST({_SHORT[source]} AS BIGINT)"
@@ -201,7 +204,7 @@ def _sample_findings(df: DataFrame) -> DataFrame:
     return f.groupBy(F.col("subject").cast("bigint").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "id", "n"))), " ").alias("out"))
 
 
-worked("json_rules", "events", _SAMPLES, _sample_findings, absent="")
+worked("json_rules", "events", _SAMPLES, _sample_findings, absent="", spread=True)
 
 # -- delimited text ------------------------------------------------------------------------------------------------------
 _TEXTS = [("name,age,city\nAda,36,London\nGrace,40,NYC\nAlan,41,Cambridge\nEdsger,50,Austin\n", ", true 4 3 0 0 0"), ("a,b\n1,2\n\n3,4\n5,6\n", ", true 4 2 1 0 0"), ("a,b,c\n1,2,3\n4,5\n6,7,8,9\n1,2,3\n", ", true 4 3 0 2 0"), ("1,2,3\n4,5,6\n7,8,9\n10,11,12\n", ", false 4 3 0 0 0"), ("a,b,c\n", ", true 0 3 0 0 0"), ("x;y\r\n1;2\r\n3;4\r\n5;6\r\n", "; true 3 2 0 0 0")]

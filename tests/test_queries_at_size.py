@@ -61,3 +61,11 @@ def test_findings_in_one_pass_are_those_on_the_node_table(spark):
     want, got = show(jsondoc.findings(n)), show(jsondoc.document_findings(df, "id", "t"))
     n.unpersist()
     assert got == want and len({x["id"].split("-/")[0] for x in got}) >= 18
+
+
+def test_json_rules_has_work_for_every_task(spark, tmp_path):
+    duckdb.execute(f"COPY (SELECT k AS event_id FROM range(60000) t(k)) TO '{tmp_path}/events.parquet' (row_group_size 100000)")
+    plan = __spark_entry__.queries()["json_rules"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[plan.index("MapInArrow") :].splitlines()
+    at = next(k for k, line in enumerate(dealt) if "REPARTITION_BY_COL" in line)  # ids alone, before their texts are made
+    assert "hashpartitioning(" in dealt[at] and "Project" in dealt[at - 1] and "Scan parquet [event_id#" in "".join(dealt[at + 1 :]).replace("FileScan", "Scan")
