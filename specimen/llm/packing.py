@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import keep, tune
-from .encode import default_path, encoder, groups
+from .encode import default_path, encoder, gathered
 
 CAPACITY, END_ID, PART_ROWS, ROUNDS = 4096, 1, 16384, 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,15 +40,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     def run(batches):
         enc, end = encoder(path, mode), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for ids, texts in gathered(batches):
             rows = []
-            for lo, hi in groups(texts):
-                for d, raw in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
-                        rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for d, raw in zip(ids, enc.encode(texts), strict=True):
+                raw += end
+                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    part = raw[at : at + 4 * capacity]
+                    rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

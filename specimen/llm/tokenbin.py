@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import keep, partitions, ranges, scratch, tune
-from .encode import default_path, encoder, groups
+from .encode import default_path, encoder, gathered
 
 END_ID, MAGIC, END_MARK = 2, b"SPTOKEN2", b"\nSPTOKEN-END\n"
 #: Bytes of ids after which a shard is closed (at a document's end): a task holds one shard at a time.
@@ -179,16 +179,14 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 raise ValueError("too many shards in one range partition")
             return pa.RecordBatch.from_arrays([pa.array([build_shard(part << SEQ_BITS | seq, keys, held, width)], pa.binary())], ["raw"])
 
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in groups(texts):
-                for k, raw in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                    keys.append(k)
-                    held.append(raw + end)
-                    size += len(raw)
-                    if size >= shard_bytes:
-                        yield shard()
-                        keys, held, size, seq = [], [], 0, seq + 1
+        for ids, texts in gathered(batches):
+            for k, raw in zip(ids, enc.encode(texts), strict=True):
+                keys.append(k)
+                held.append(raw + end)
+                size += len(raw)
+                if size >= shard_bytes:
+                    yield shard()
+                    keys, held, size, seq = [], [], 0, seq + 1
         if keys:
             yield shard()
 

@@ -183,3 +183,38 @@ def test_lookups_read_bytes_and_not_shards():
     for k in strangers:
         taken.clear()
         assert tokenbin.fetch(read, k) is None and sum(taken) < 100
+
+
+@pytest.mark.parametrize("name,mode,dtype", KINDS)
+def test_a_chunk_is_new_once_in_a_group_however_full_the_memo(name, mode, dtype, monkeypatch):
+    made, missing = [], encode._Memo.__missing__
+    monkeypatch.setattr(encode._Memo, "__missing__", lambda memo, x: made.append(x) or missing(memo, x))
+    enc = encode.Encoder(encode.default_path(name), mode, dtype, memo_chunks=0)
+    texts = ["so kommt es", None, "", "wort", *["es kommt wort so"] * 500]
+    assert enc.encode(texts) == enc.whole([t or "" for t in texts])
+    assert len(made) <= 8  # four words, and in a text's first place again where the space counts
+
+
+def test_what_is_put_together_from_chunks_takes_no_room_in_the_memo():
+    enc = encode.Encoder(encode.default_path("byte_bpe_50k.json"), "lead", "<u2")
+    texts = ["so ende.\nNeu wort, wort; ende*** wort&&&"]
+    assert enc.encode(texts) == enc.whole(texts)
+    assert set(enc.spaced) == {"ende", "wort"}
+
+
+@pytest.mark.parametrize("name,mode,dtype", KINDS)
+def test_runs_of_closing_marks(name, mode, dtype):
+    enc = encode.Encoder(encode.default_path(name), mode, dtype)
+    texts = [f"x {core}{tail} y{tail}\n{core}{tail}" for core in ("abc", "İ", "ñİ", "ª", "don't", "7", "a7b", "<|endoftext|>", "漢", "ʰ", "é") for tail in (".", ",!!", "***", "&&&", "%", "'.", "|>", ".̸")]
+    assert enc.encode(texts) == enc.whole(texts)
+
+
+def test_groups_reach_over_batches_and_rows_without_texts_are_bounded():
+    import pyarrow as pa
+
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["k", "t"])
+    rows = [(k, None if k % 3 else "abc") for k in range(50)]
+    got = list(encode.gathered([batch(rows[:20]), batch([]), batch(rows[20:])], most_chars=1000))
+    assert [(k, t) for keys, texts in got for k, t in zip(keys, texts, strict=True)] == rows
+    assert len(got) == 2 and len(got[0][0]) == 31  # 31 rows of 32, and three characters each for eleven of them
+    assert list(encode.gathered([])) == []
