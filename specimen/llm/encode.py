@@ -31,6 +31,8 @@ _BYTES = {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not i
 _MARKS = ".,!?:;*#$%&"
 #: Latin letters as the byte-level model is shown them.
 _LATIN = {c: "".join(_BYTES.get(b, chr(b)) for b in c.encode()) for c in map(chr, range(0x250))}
+#: Bytes that Arrow can count with short offsets.
+_SHORT = 1 << 31
 _MADE: dict[tuple, "Encoder"] = {}
 
 
@@ -96,7 +98,7 @@ class Encoder:
 
     def _joined(self, texts: list[str]):
         """Ids of texts that may be cut at each space."""
-        small = 16 * sum(map(len, texts)) < 1 << 31  # no character has more than four ids of four bytes
+        small = 16 * sum(map(len, texts)) < _SHORT  # no character has more than four ids of four bytes
         parts = pc.split_pattern(pa.array(texts, pa.string() if small else pa.large_string()), " ")
         first, numbered = parts.offsets.to_numpy(), parts.values.dictionary_encode()
         del parts

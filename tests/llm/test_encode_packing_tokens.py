@@ -218,3 +218,11 @@ def test_groups_reach_over_batches_and_rows_without_texts_are_bounded():
     assert [(k, t) for keys, texts in got for k, t in zip(keys, texts, strict=True)] == rows
     assert len(got) == 2 and len(got[0][0]) == 31  # 31 rows of 32, and three characters each for eleven of them
     assert list(encode.gathered([])) == []
+
+
+@pytest.mark.parametrize("name,mode,dtype", KINDS)
+def test_groups_beyond_short_offsets(name, mode, dtype, monkeypatch):
+    monkeypatch.setattr(encode, "_SHORT", 0)
+    enc = encode.Encoder(encode.default_path(name), mode, dtype)
+    texts = [*ODD, None, "a b c", "x" * 50 + " y"]
+    assert enc.encode(texts) == enc.whole([t or "" for t in texts])
